@@ -1,2 +1,116 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the regression models: train, score, evaluate."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from catalog import inputs as I
+from strata.operators import records
+from strata.plans import features, model
+from strata.session import new_path, save
+from strata.sources.edges import read_libsvm
+
+_NUMERIC = ["followers_count", "friends_count", "num_tweets", "num_user_relations"]
+_CATEGORICAL = ["time_zone"]
+_HASHED = 1 << 10
+
+
+def _training(spark, sf):
+    rows = features.tag_features(
+        I.uses(spark, sf), I.follow(spark, sf), I.profiles(spark, sf), I.BEGIN, I.AS_OF
+    )
+    return save(rows.withColumn("label", F.col("label").cast("double")), "training")
+
+
+def _scoring(spark, sf):
+    return features.score_features(
+        I.uses(spark, sf), I.follow(spark, sf), I.profiles(spark, sf), I.AS_OF
+    )
+
+
+def _fit(spark, sf, algo, path=None):
+    pipeline = model.feature_pipeline(_NUMERIC, _CATEGORICAL, algo, num_features=_HASHED, seed=1)
+    return model.train(_training(spark, sf), pipeline, path)
+
+
+def tree_predictions(spark, sf):
+    """Tomorrow's tag uses per user and tag; the model goes through its stored form."""
+    path = new_path(spark, "model")
+    _fit(spark, sf, "tree", path)
+    scored = model.score(model.load(path), _scoring(spark, sf))
+    return model.prediction_map(scored)
+
+
+def forest_predictions(spark, sf):
+    """A forest on ready vectors: LibSVM in, held-out predictions out."""
+    li = I.table(spark, sf, "lineitem")
+    vector = array_to_vector(
+        F.array(
+            F.col("l_quantity"),
+            F.col("l_discount"),
+            F.col("l_tax"),
+            F.col("l_linenumber").cast("double"),
+        )
+    )
+    path = new_path(spark, "libsvm")
+    li.select(F.col("l_extendedprice").alias("label"), vector.alias("features")).write.format(
+        "libsvm"
+    ).save(path)
+    rows = read_libsvm(spark, path, 4)
+    training, held_out = model.split(rows, ["label", "features"], 0.7, seed=3)
+    fitted = model.train(save(training, "training"), model.vector_pipeline("forest", seed=1))
+    return model.score(fitted, held_out).select("label", "prediction")
+
+
+def forest_ego(spark, sf):
+    """A forest over the ego network of the most followed user; every label is 1 there."""
+    relations = I.relations(spark, sf).distinct()
+    user = relations.groupBy("user").count().orderBy(F.desc("count"), "user").first()["user"]
+    rows = records.ego_network(
+        relations, I.uses(spark, sf).drop("id"), I.profiles(spark, sf).drop("id"), user, "click"
+    )
+    training, held_out = model.split(save(rows, "ego"), ["seq"], 0.5, seed=5)
+    pipeline = model.feature_pipeline(
+        ["followers_count", "friends_count", "value"],
+        ["time_zone"],
+        "forest",
+        num_features=_HASHED,
+        seed=1,
+    )
+    scored = model.score(model.train(training, pipeline), held_out)
+    return model.rmse_frame(scored)
+
+
+def score_all_tags(spark, sf):
+    """All tags scored in one job and stored with one directory per tag."""
+    path = new_path(spark, "predictions")
+    model.score_all_tags(_fit(spark, sf, "tree"), _scoring(spark, sf), path)
+    return spark.read.parquet(path).select("id", "tag", "prediction")
+
+
+def rmse(spark, sf):
+    """Error of a fixed prediction: order price estimated from its line items."""
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    li = I.table(spark, sf, "lineitem")
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    rows = o.join(lines, "o_orderkey").select(
+        F.col("o_totalprice").alias("label"), (F.col("n") * 50000.0).alias("prediction")
+    )
+    return model.rmse_frame(rows).select(F.round("rmse", 3).alias("rmse"))
+
+
+QUERIES = {
+    "tree_predictions": tree_predictions,
+    "forest_predictions": forest_predictions,
+    "forest_ego": forest_ego,
+    "score_all_tags": score_all_tags,
+    "rmse": rmse,
+}
+
+ORACLES = {
+    "rmse": """SELECT round(sqrt(avg((o_totalprice - n * 50000.0) ** 2)), 3) AS rmse FROM orders
+JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+}

@@ -1,2 +1,104 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries that run the tables through Structured Streaming and read the stores back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import inputs as I
+from strata.session import new_path
+from strata.sources import wire
+from strata.sources.streams import table_stream, wire_stream
+from strata.streaming import ingest
+
+
+def _folder(spark, df, name, files=4):
+    """A feed directory of several files, so that a stream takes several batches."""
+    path = new_path(spark, name)
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+def _run(spark, stream, sink, mode="append"):
+    query = ingest.start(stream, sink, new_path(spark, "offsets"), every=None, mode=mode)
+    query.awaitTermination()
+
+
+def stream_relations(spark, sf):
+    """Follow rows from wire text into a running store of distinct rows."""
+    lines = wire.encode_wire(I.relations(spark, sf))
+    path = new_path(spark, "feed")
+    lines.repartition(4).write.text(path)
+    stream = wire_stream(spark, path, "relations", max_files=1)
+    store = ingest.distinct_store(spark, new_path(spark, "store"), stream.schema)
+    _run(spark, stream, ingest.distinct_sink(store, compact_every=2))
+    return store.read()
+
+
+def stream_latest(spark, sf):
+    """The latest use of every user, kept over micro-batches."""
+    rows = I.uses(spark, sf).select("screen_name", "hashtag", "ts", "seq", "value")
+    path = _folder(spark, rows, "feed")
+    stream = table_stream(spark, path, rows.schema, max_files=1)
+    keys, order = ["screen_name"], ["ts", "seq"]
+    store = ingest.latest_store(spark, new_path(spark, "store"), rows.schema, keys, order)
+    _run(spark, stream, ingest.upsert_sink(store, keys, order, compact_every=3))
+    return store.read()
+
+
+def stream_batches(spark, sf):
+    """Per-batch distinct uses, one directory per batch, read back as one table."""
+    rows = I.uses(spark, sf).select("screen_name", "hashtag", "time", "value")
+    path = _folder(spark, rows, "feed")
+    out = new_path(spark, "batches")
+    stream = table_stream(spark, path, rows.schema, max_files=2)
+    _run(spark, stream, ingest.distinct_batches(out))
+    return spark.read.parquet(out).drop("batch").distinct()
+
+
+def stream_daily_counts(spark, sf):
+    """Windowed counts of a stream; updates are merged by (day, user, tag)."""
+    rows = I.uses(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("ts"), "screen_name", "hashtag"
+    )
+    path = _folder(spark, rows, "feed")
+    stream = table_stream(spark, path, rows.schema, max_files=2)
+    counts = ingest.stream_daily_counts(stream, watermark="40 days")
+    keys = ["day", "screen_name", "hashtag"]
+    store = ingest.latest_store(spark, new_path(spark, "store"), counts.schema, keys, [])
+    _run(spark, counts, ingest.upsert_sink(store, keys, ["uses"]), mode="update")
+    return store.read().withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+def stream_distinct(spark, sf):
+    """(user, tag, day) seen in the stream, de-duplicated within the watermark."""
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp")
+    rows = I.uses(spark, sf).select(day.alias("ts"), "screen_name", "hashtag")
+    path = _folder(spark, rows, "feed")
+    stream = table_stream(spark, path, rows.schema, max_files=2)
+    seen = ingest.distinct_stream(stream, ["ts", "screen_name", "hashtag"], "40 days")
+    out = new_path(spark, "batches")
+    _run(spark, seen, ingest.batch_sink(out, lambda batch: batch))
+    return spark.read.parquet(out).select(
+        F.col("ts").cast("timestamp_ntz").alias("day"), "screen_name", "hashtag"
+    )
+
+
+QUERIES = {
+    "stream_relations": stream_relations,
+    "stream_latest": stream_latest,
+    "stream_batches": stream_batches,
+    "stream_daily_counts": stream_daily_counts,
+    "stream_distinct": stream_distinct,
+}
+
+ORACLES = {
+    "stream_relations": f'WITH {I.SQL_RELATIONS} SELECT DISTINCT "user", follower FROM relations',
+    "stream_latest": f"""WITH {I.SQL_USES}
+SELECT screen_name, hashtag, ts, seq, value FROM uses
+QUALIFY row_number() OVER (PARTITION BY screen_name ORDER BY ts DESC, seq DESC) = 1""",
+    "stream_batches": f"WITH {I.SQL_USES} SELECT DISTINCT screen_name, hashtag, time, value FROM uses",
+    "stream_daily_counts": f"""WITH {I.SQL_USES}
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, screen_name, hashtag, count(*) AS uses FROM uses GROUP BY 1, 2, 3""",
+    "stream_distinct": f"""WITH {I.SQL_USES}
+SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS day, screen_name, hashtag FROM uses""",
+}

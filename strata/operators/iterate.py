@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from strata.session import new_path, save
 
@@ -15,17 +16,18 @@ def iterate(
     max_iter: int,
     name: str = "iterate",
 ) -> DataFrame:
-    """Apply ``step`` until no row reports a change.
+    """Apply ``step`` until no row is active.
 
-    ``step(state, round)`` returns the next state with a boolean column ``changed``. Each
-    state is a table in the shared folder. Not converging within ``max_iter`` rounds
+    ``step(state, round)`` returns the next state with a boolean column ``active``, which
+    the next step sees too. Each state is a table in the shared folder. Not converging within ``max_iter`` rounds
     raises.
     """
     for round_no in range(1, max_iter + 1):
-        table = save(step(state, round_no), name)
-        state = table.drop("changed")
-        if table.where("changed").isEmpty():
-            return state
+        seen = Observation()
+        active = F.count_if("active").alias("active")
+        state = save(step(state, round_no).observe(seen, active), name)
+        if not seen.get["active"]:
+            return state.drop("active")
     raise RuntimeError(f"{name} did not converge within {max_iter} rounds")
 
 
@@ -42,16 +44,18 @@ class Rounds:
         self.round = 0
         self._write(first)
 
-    def _write(self, df: DataFrame) -> DataFrame:
+    def _write(self, df: DataFrame) -> int:
         path = f"{self._root}/round={self.round}"
-        df.select(*self._schema.names).write.parquet(path)
+        seen = Observation()
+        rows = df.select(*self._schema.names).observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows.write.parquet(path)
         self.frontier = self._spark.read.schema(self._schema).parquet(path)
-        return self.frontier
+        return seen.get["rows"]
 
     def add(self, df: DataFrame) -> bool:
         """Store the next round; False if it is empty."""
         self.round += 1
-        return not self._write(df).isEmpty()
+        return self._write(df) > 0
 
     def all(self) -> DataFrame:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema)

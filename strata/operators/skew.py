@@ -64,7 +64,7 @@ class EdgeIndex:
     def __init__(self, edges: DataFrame, toward: str):
         at = {"src": "dst", "dst": "src"}[toward]
         table = edges.select(F.col(at).alias("id"), F.col(toward).alias("nbr"))
-        rows = table.count()
+        rows = table.count()  # from the file footers
         self.hot = hot_keys(table, "id", rows)
         self._on = ["id"] if self.hot is None else ["id", "salt"]
         if self.hot is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.keys import was_clustered
 from strata.operators import graph, paths
-from strata.operators.components import components, spanning_forest
+from strata.operators.components import chosen_ranks, contract, labels
 from strata.operators.explore import with_key_columns
 from strata.operators.iterate import Rounds
 from strata.operators.skew import EdgeIndex
@@ -51,17 +51,18 @@ def attach(
     return with_key_columns(keys, levels)
 
 
-def forest_closure(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shortest paths that suffice for the minimum spanning forest of the closure.
+def terminal_forest(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning forest of the closure between the terminals.
 
-    Returns (candidates (src, dst, weight), pointers (id, landmark, next, hops)).
-    Candidates hold every edge of that forest. A wave starts at each terminal and walks
-    the edges backwards, all by one hop per round. Two terminals that meet are one cluster
-    from the next round on, and of a cluster's waves only the first to reach a vertex goes
-    on, the one of least terminal id among equals: every later path between the same two
-    clusters is longer or ranks after it, so it cannot be in the forest. The loop ends when
-    one cluster is left or no wave moves. The state is one row per vertex and cluster, and
-    clusters vanish quickly, where the whole closure has one row per vertex and terminal.
+    Returns (forest (src, landmark, hops), pointers (id, landmark, next, hops)); the
+    closure itself is never built. A wave starts at each terminal and walks the edges
+    backwards, all by one hop per round; terminals that meet are linked with that number of
+    hops and are one cluster from then on (Kruskal by hops). Of a cluster's waves only the
+    first to reach a vertex goes on, the one of least terminal id among equals: every later
+    path between the same two clusters is longer or ranks after it, so it cannot be in the
+    forest. The loop ends when one cluster is left or no wave moves. The state is one row
+    per vertex and cluster, and clusters vanish quickly, where the whole closure has one
+    row per vertex and terminal.
     """
     first = terminals.select(
         "id", F.col("id").alias("landmark"), F.lit(None).cast("bigint").alias("next")
@@ -70,11 +71,13 @@ def forest_closure(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, D
     clusters, left = save_counted(
         terminals.select("id", F.col("id").alias("cluster")), "clusters"
     )
-    found = []
+    forest = first.select(
+        F.col("id").alias("src"), "landmark", F.lit(0).alias("hops")
+    ).where(F.lit(False))
     with EdgeIndex(edges, toward="src") as index:
         while left > 1:
             of_landmark = clusters.select(F.col("id").alias("landmark"), "cluster")
-            settled = rounds.all().join(of_landmark, "landmark").select("id", "cluster").distinct()
+            settled = rounds.all().join(of_landmark, "landmark").select("id", "cluster")
             wave = (
                 index.expand(rounds.frontier.select("id", "landmark"))
                 .groupBy(F.col("nbr").alias("id"), "landmark")
@@ -87,46 +90,48 @@ def forest_closure(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, D
             )
             if not rounds.add(wave):
                 break
-            met = rounds.frontier.join(terminals.select("id"), "id", "left_semi").select(
-                F.col("id").alias("src"),
-                F.col("landmark").alias("dst"),
-                F.lit(rounds.round).alias("weight"),
-            )
-            met, n = save_counted(met, "met")
-            if n == 0:
+            linked, clusters = _link(rounds.frontier, clusters)
+            if linked is None:
                 continue
-            found.append(met)
-            src = clusters.select(F.col("id").alias("src"), F.col("cluster").alias("s"))
-            dst = clusters.select(F.col("id").alias("dst"), F.col("cluster").alias("d"))
-            links = met.join(src, "src").join(dst, "dst").select(
-                F.col("s").alias("src"), F.col("d").alias("dst")
-            )
-            merged = components(clusters.select(F.col("cluster").alias("id")).distinct(), links)
-            clusters = save(
-                clusters.join(merged.withColumnRenamed("id", "cluster"), "cluster").select(
-                    "id", F.col("component").alias("cluster")
-                ),
-                "clusters",
+            forest = forest.unionByName(
+                linked.select("src", "landmark", F.lit(rounds.round).alias("hops"))
             )
             left = clusters.select("cluster").distinct().count()
-    pointers = rounds.all().withColumnRenamed("round", "hops")
-    if not found:
-        nothing = first.select(
-            F.col("id").alias("src"), F.col("landmark").alias("dst"), F.lit(0).alias("weight")
-        ).where(F.lit(False))
-        return nothing, pointers
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    return candidates, pointers
+    return forest, rounds.all().withColumnRenamed("round", "hops")
+
+
+def _link(wave: DataFrame, clusters: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Link the clusters that met in this round: (chosen (src, landmark), new clusters)."""
+    at = clusters.select("id", F.col("cluster").alias("a"))
+    of = clusters.select(F.col("id").alias("landmark"), F.col("cluster").alias("b"))
+    rank = F.struct(
+        F.least("id", "landmark").alias("least"),
+        F.greatest("id", "landmark").alias("greatest"),
+        F.col("id").alias("src"),
+    )
+    met = wave.join(at, "id").join(of, "landmark")
+    # Both directions of a closure edge may have met; the one of lesser src is kept.
+    ends = F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    )
+    links = save(met.select(F.inline(ends), rank.alias("rank")), "met")
+    levels, chosen = contract(links, ranked=True)
+    if not levels:
+        return None, clusters
+    src = F.col("rank.src")
+    other = F.when(src == F.col("rank.least"), F.col("rank.greatest")).otherwise(
+        F.col("rank.least")
+    )
+    merged = clusters.join(labels(levels).withColumnRenamed("id", "cluster"), "cluster", "left").select(
+        "id", F.coalesce("root", "cluster").alias("cluster")
+    )
+    ranks = chosen_ranks(chosen)
+    return ranks.select(src.alias("src"), other.alias("landmark")), save(merged, "clusters")
 
 
 def keep_one_backbone(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of the backbone along one spanning forest of the terminals."""
-    candidates, pointers = forest_closure(edges, terminals)
-    forest = spanning_forest(candidates).select(
-        "src", F.col("dst").alias("landmark"), F.col("weight").alias("hops")
-    )
+    forest, pointers = terminal_forest(edges, terminals)
     return paths.backbone(paths.expand_paths(pointers, forest), terminals)
 
 

@@ -344,11 +344,10 @@ def structural_fuzzy(
         edges = graph.symmetrize(edges)
     edges = save(graph.distinct_edges(edges), "edges")
     all_sets = _sets(edges, symmetric)
-    twins = save(twin_representatives(all_sets), "twins")
+    twins = twin_representatives(all_sets)
     # Twins have equal sets, so one vertex per distinct set stands for all of them.
-    only = twins.where("id = rep")
-    sets = save(all_sets.join(only.select("id"), "id", "left_semi"), "sets")
-    sizes = save(only.select("id", "n_out", "n_in"), "sizes")
+    sizes = save(twins.where("id = rep").select("id", "n_out", "n_in"), "sizes")
+    sets = save(all_sets.join(sizes.select("id"), "id", "left_semi"), "sets")
     maximal = save(maximal_sets(sets, sizes), "maximal")
     best = best_similar(sets, sizes, maximal, threshold, mode, symmetric)
     size = F.col("n_out") + F.col("n_in")

@@ -47,7 +47,6 @@ def degree_hierarchy(
         .otherwise(F.array("parent"))
         .alias("above"),
     )
-    chain = save(chain, "chain")
     known = 1
     while known < levels - 1:
         # Nearest ancestor first; the last known one is where the next stretch begins.
@@ -56,13 +55,14 @@ def degree_hierarchy(
             F.col("id").alias("head"), F.col("above").alias("more")
         )
         longer = F.concat("above", F.coalesce("more", F.array().cast("array<bigint>")))
-        chain = save(
+        chain = (
             chain.withColumn("head", head)
             .join(stretch, "head", "left")
-            .select("id", F.slice(longer, 1, levels - 1).alias("above")),
-            "chain",
+            .select("id", F.slice(longer, 1, levels - 1).alias("above"))
         )
         known *= 2
+        if known in (4, 16, 64):  # two doublings per stored table
+            chain = save(chain, "chain")
     near = F.slice("above", 1, levels - 1) if levels > 1 else F.array().cast("array<bigint>")
     line = F.concat(F.reverse(near), F.array("id"))
     padded = F.concat(line, F.array_repeat(F.col("id"), F.lit(levels) - F.size(line)))

@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution splits the hot partitions of plain equi joins; the engine's own
 # salting covers the tables that loops keep partitioned (see operators.skew).
@@ -55,9 +56,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def save_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Like :func:`save`, with the row count taken from the written files."""
-    table = save(df, name)
-    return table, table.count()
+    """Like :func:`save`, with the number of rows, counted while they are written.
+
+    The number steers loops (is anything left) and partition sizes; results never use it.
+    """
+    seen = Observation()
+    table = save(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get["rows"]
 
 
 def purge(spark: SparkSession) -> None:

@@ -30,10 +30,11 @@ def _profile(users: DataFrame) -> DataFrame:
 
 
 def parse_tweets(lines: DataFrame) -> DataFrame:
-    """Status objects; control messages (those with a ``limit`` member) are skipped."""
+    """Status objects; control messages (those with a ``limit`` member) and lines that are
+    no status are skipped."""
     return (
         lines.select(F.from_json("value", TWEET_JSON).alias("tweet"))
-        .where("tweet IS NOT NULL AND tweet.limit IS NULL")
+        .where("tweet.user.screen_name IS NOT NULL AND tweet.limit IS NULL")
         .select("tweet.*")
     )
 
@@ -48,11 +49,17 @@ def only_tracked(uses: DataFrame, tags: DataFrame) -> DataFrame:
     return uses.withColumn("hashtag", F.lower("hashtag")).join(wanted, "hashtag", "left_semi")
 
 
-def tag_uses(tweets: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """One row per hashtag of a status, the tag in lower case."""
-    rows = tweets.select("*", F.explode("entities.hashtags").alias("tag")).select(
+def tagged(tweets: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """One row per hashtag of a status (column ``hashtag``, lower case), all or tracked ones."""
+    rows = tweets.select("*", F.explode("entities.hashtags.text").alias("hashtag"))
+    rows = rows.withColumn("hashtag", F.lower("hashtag"))
+    return rows if tags is None else only_tracked(rows, tags)
+
+
+def _uses(tagged_rows: DataFrame) -> DataFrame:
+    return tagged_rows.select(
         F.col("user.screen_name").alias("screen_name"),
-        F.lower("tag.text").alias("hashtag"),
+        "hashtag",
         F.col("timestamp_ms").try_cast("bigint").alias("time"),
         "quote_count",
         "reply_count",
@@ -63,7 +70,11 @@ def tag_uses(tweets: DataFrame, tags: DataFrame | None = None) -> DataFrame:
         "filter_level",
         "text",
     )
-    return rows if tags is None else only_tracked(rows, tags)
+
+
+def tag_uses(tweets: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Tag-use rows of the statuses."""
+    return _uses(tagged(tweets, tags))
 
 
 def author_profiles(tweets: DataFrame) -> DataFrame:
@@ -91,11 +102,11 @@ def follower_profiles(followers: DataFrame) -> DataFrame:
 def tweets_to_relations(
     statuses: DataFrame, pages: DataFrame, tags: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Follow edges, tracked tag uses and profiles from status and follower-page lines."""
-    tweets = parse_tweets(statuses)
+    """Follow edges, tracked tag uses and profiles (authors of tracked tags, followers)."""
+    rows = tagged(parse_tweets(statuses), tags)
     followers = parse_follower_pages(pages)
     return (
         follower_relations(followers),
-        tag_uses(tweets, tags),
-        author_profiles(tweets).unionByName(follower_profiles(followers)),
+        _uses(rows),
+        _profile(rows).distinct().unionByName(follower_profiles(followers)),
     )
