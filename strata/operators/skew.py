@@ -21,8 +21,8 @@ from strata.session import save_counted
 MAX_HOT_KEYS = 2_000
 HOT_MIN_ROWS = 1_000_000
 KEEP_PARTITIONED_ROWS = 1_000_000
-ROWS_PER_PARTITION = 500_000
-MAX_PARTITIONS = 20_000
+ROWS_PER_PARTITION = 4_000_000
+MAX_PARTITIONS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:

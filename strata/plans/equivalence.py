@@ -19,7 +19,7 @@ _MAX_ROUNDS = 50
 _EXACT_SIZES = 12
 _SIZE_RATIO = 1.25
 _SLOTS = 32
-_FIRST_BLOCK = 64
+_FIRST_BLOCK = 16
 _BLOCK_GROWTH = 8
 
 
@@ -90,24 +90,32 @@ def structural(
     return with_key_columns(keys, levels)
 
 
-def maximal_sets(sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id): vertices whose sets lie inside no other vertex's sets on both sides.
+def covered_sets(candidates: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id): the candidates whose sets lie inside another vertex's sets on both sides.
 
     This is the pruning of a neighbourhood's list to its maximal entries: a set that
     covers another one holds the common neighbour too, so it is in the same list, and the
-    result is the same for every neighbourhood. ``sets`` are pairwise different. A cover
-    contains the rarest element of the set, so only that element's holders are compared.
+    result is the same for every neighbourhood. ``sets`` are pairwise different. A cover is
+    larger and contains the rarest element of the set, so only the larger holders of that
+    element are compared. Few sets are ever asked about, mostly the largest of their kind.
     """
-    rarity = sets.groupBy("side", "nbr").agg(F.count(F.lit(1)).alias("freq"))
+    asked = sets.join(candidates, "id", "left_semi")
+    rarity = (
+        sets.join(asked.select("side", "nbr").distinct(), ["side", "nbr"], "left_semi")
+        .groupBy("side", "nbr")
+        .agg(F.count(F.lit(1)).alias("freq"))
+    )
     rarest = (
-        sets.join(rarity, ["side", "nbr"])
+        asked.join(rarity, ["side", "nbr"])
         .groupBy("id")
         .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"))
         .select("id", "t.side", "t.nbr")
     )
     size = sizes.select("id", (F.col("n_out") + F.col("n_in")).alias("size"))
-    holder = sets.join(size, "id").select(
-        F.col("id").alias("cover"), "side", "nbr", F.col("size").alias("cover_size")
+    holder = (
+        sets.join(rarest.select("side", "nbr").distinct(), ["side", "nbr"], "left_semi")
+        .join(size, "id")
+        .select(F.col("id").alias("cover"), "side", "nbr", F.col("size").alias("cover_size"))
     )
     pairs = (
         rarest.join(size, "id")
@@ -121,8 +129,7 @@ def maximal_sets(sets: DataFrame, sizes: DataFrame) -> DataFrame:
         .groupBy("id", "cover", "size")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    covered = shared.where("n = size").select("id").distinct()
-    return sizes.select("id").join(covered, "id", "left_anti")
+    return shared.where("n = size").select("id").distinct()
 
 
 def _size_class(size):
@@ -239,50 +246,49 @@ def _similar(
 
 
 def best_similar(
-    sets: DataFrame,
-    sizes: DataFrame,
-    candidates: DataFrame,
-    threshold: float,
-    mode: str,
-    symmetric: bool,
+    sets: DataFrame, sizes: DataFrame, threshold: float, mode: str, symmetric: bool
 ) -> DataFrame:
-    """(id, cand): of the ``candidates`` similar to a vertex, the one of the largest sets,
-    the least id among equals.
+    """(id, cand): of the uncovered sets similar to a vertex's, the largest, the least id
+    among equals.
 
     Candidates of a posting are tried in that order, a block at a time. A vertex is done
     when every candidate still untried ranks after its best one, so a large group of near
     copies costs one block and not all its pairs; blocks grow, so few rounds cover a
-    posting without matches.
+    posting without matches. The head of a posting is found with a row number below a
+    limit, which Spark applies before the shuffle: no task sees a whole hot posting.
     """
+    conf = sets.sparkSession.conf
+    most = int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     postings = save(_channels(sets, sizes, threshold, symmetric), "postings")
-    rank = sizes.join(candidates, "id", "left_semi").select(
+    rank = sizes.select(
         F.col("id").alias("cand"), (-(F.col("n_out") + F.col("n_in"))).alias("minus_size")
     )
     key = ["channel", "nbr", "own", "other"]
     # A candidate's own class is the partner class of whoever looks for it.
-    offers = save(
-        postings.select(
-            "channel",
-            "nbr",
-            F.col("other").alias("own"),
-            F.col("own").alias("other"),
-            F.col("id").alias("cand"),
-        ).join(rank, "cand"),
-        "offers",
-    )
-    probes = save(postings.join(offers.select(*key).distinct(), key, "left_semi"), "probes")
+    offers = postings.select(
+        "channel",
+        "nbr",
+        F.col("other").alias("own"),
+        F.col("own").alias("other"),
+        F.col("id").alias("cand"),
+    ).join(rank, "cand")
+    probes = postings
     best = None
     block = _FIRST_BLOCK
-    for _ in range(_MAX_ROUNDS):
+    while True:
         order = Window.partitionBy(*key).orderBy("minus_size", "cand")
         head = save(
             offers.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= block), "head"
         )
-        pairs = (
-            probes.join(head, key).where("id <> cand").select("id", "cand").distinct()
+        pairs = probes.join(head, key).where("id <> cand").select("id", "cand").distinct()
+        similar = save(_similar(pairs, sets, sizes, threshold, mode, symmetric), "similar")
+        asked = similar.select(F.col("cand").alias("id")).distinct()
+        covered = covered_sets(asked, sets, sizes).select(F.col("id").alias("cand"))
+        found = (
+            similar.join(covered, "cand", "left_anti")
+            .join(rank, "cand")
+            .select("id", "minus_size", "cand")
         )
-        similar = _similar(pairs, sets, sizes, threshold, mode, symmetric)
-        found = similar.join(rank, "cand").select("id", "minus_size", "cand")
         if best is not None:
             found = found.unionByName(best)
         best = save(
@@ -291,33 +297,28 @@ def best_similar(
             .select("id", "b.minus_size", "b.cand"),
             "best",
         )
-        more = head.groupBy(*key).agg(
-            F.max(F.struct("minus_size", "cand")).alias("last"), F.max("rn").alias("rn")
+        full = head.where(F.col("rn") == block).select(
+            *key, F.struct("minus_size", "cand").alias("last")
         )
-        more, n = save_counted(more.where(F.col("rn") == block).drop("rn"), "more")
-        if n == 0:
-            break
-        open_probes = probes.join(more, key)
+        open_probes = probes.join(full, key)
         bound = open_probes.groupBy("id").agg(F.min("last").alias("last"))
         unresolved = (
             bound.join(best, "id", "left")
             .where(F.col("cand").isNull() | (F.struct("minus_size", "cand") > F.col("last")))
             .select("id")
         )
-        probes, left = save_counted(
-            open_probes.drop("last").join(unresolved, "id", "left_semi"), "probes"
-        )
+        probes, left = save_counted(open_probes.join(unresolved, "id", "left_semi"), "probes")
         if left == 0:
-            break
+            return best.select("id", "cand")
+        still = probes.select(*key, "last").distinct()
         offers = save(
-            offers.join(more, key)
+            offers.join(still, key)
             .where(F.struct("minus_size", "cand") > F.col("last"))
-            .drop("last")
-            .join(probes.select(*key).distinct(), key, "left_semi"),
+            .drop("last"),
             "offers",
         )
-        block *= _BLOCK_GROWTH
-    return best.select("id", "cand")
+        probes = probes.drop("last")
+        block = min(block * _BLOCK_GROWTH, most)
 
 
 def structural_fuzzy(
@@ -348,23 +349,28 @@ def structural_fuzzy(
     # Twins have equal sets, so one vertex per distinct set stands for all of them.
     sizes = save(twins.where("id = rep").select("id", "n_out", "n_in"), "sizes")
     sets = save(all_sets.join(sizes.select("id"), "id", "left_semi"), "sets")
-    maximal = save(maximal_sets(sets, sizes), "maximal")
-    best = best_similar(sets, sizes, maximal, threshold, mode, symmetric)
-    size = F.col("n_out") + F.col("n_in")
-    ranked = best.join(
-        sizes.select(F.col("id").alias("cand"), size.alias("cand_size")), "cand"
-    ).select(F.col("id").alias("rep"), "cand", "cand_size")
-    flagged = maximal.select(F.col("id").alias("rep"), F.lit(True).alias("rep_maximal"))
-    # For a twin the representative itself is a candidate too, of its own size.
-    own_rep = F.col("rep_maximal") & (F.col("id") != F.col("rep"))
-    first = F.col("cand").isNull() | (
-        F.struct((-size).alias("s"), F.col("rep").alias("c"))
-        < F.struct((-F.col("cand_size")).alias("s"), F.col("cand").alias("c"))
+    best = best_similar(sets, sizes, threshold, mode, symmetric)
+    size = (F.col("n_out") + F.col("n_in")).alias("cand_size")
+    ranked = best.join(sizes.select(F.col("id").alias("cand"), size), "cand").select(
+        F.col("id").alias("rep"), "cand", "cand_size"
+    )
+    # For a twin the representative itself is a candidate too, of the twin's own size.
+    own = F.struct((-(F.col("n_out") + F.col("n_in"))).alias("s"), F.col("rep").alias("c"))
+    other = F.struct((-F.col("cand_size")).alias("s"), F.col("cand").alias("c"))
+    prefers_rep = (F.col("id") != F.col("rep")) & (F.col("cand").isNull() | (own < other))
+    rows = save(
+        twins.join(ranked, "rep", "left").select(
+            "id", "rep", "cand", prefers_rep.alias("prefers_rep")
+        ),
+        "choices",
+    )
+    asked = rows.where("prefers_rep").select(F.col("rep").alias("id")).distinct()
+    covered = covered_sets(asked, sets, sizes).select(
+        F.col("id").alias("rep"), F.lit(True).alias("covered")
     )
-    joined = (
-        twins.join(ranked, "rep", "left")
-        .join(flagged, "rep", "left")
-        .select("id", F.when(own_rep & first, F.col("rep")).otherwise(F.col("cand")).alias("cand"))
+    takes_rep = F.col("prefers_rep") & F.col("covered").isNull()
+    joined = rows.join(covered, "rep", "left").select(
+        "id", F.when(takes_rep, F.col("rep")).otherwise(F.col("cand")).alias("cand")
     )
     own = F.array_repeat(F.col("id"), levels - 1)
     keys = vertices.select("id").join(joined, "id", "left").select(

@@ -29,13 +29,18 @@ def _profile(users: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(lines: DataFrame, schema: str, wanted) -> DataFrame:
+    """Parsed objects that are ``wanted``. As a generator, so that each line is parsed once
+    and not again by the pushed-down filter."""
+    parsed = F.array(F.from_json("value", schema))
+    return lines.select(F.explode(F.filter(parsed, wanted)).alias("object")).select("object.*")
+
+
 def parse_tweets(lines: DataFrame) -> DataFrame:
     """Status objects; control messages (those with a ``limit`` member) and lines that are
     no status are skipped."""
-    return (
-        lines.select(F.from_json("value", TWEET_JSON).alias("tweet"))
-        .where("tweet.user.screen_name IS NOT NULL AND tweet.limit IS NULL")
-        .select("tweet.*")
+    return _parsed(
+        lines, TWEET_JSON, lambda t: t["user"]["screen_name"].isNotNull() & t["limit"].isNull()
     )
 
 
@@ -82,11 +87,8 @@ def author_profiles(tweets: DataFrame) -> DataFrame:
 
 
 def parse_follower_pages(lines: DataFrame) -> DataFrame:
-    return (
-        lines.select(F.from_json("value", FOLLOWER_PAGE_JSON).alias("page"))
-        .where("page.next_cursor IS NOT NULL")
-        .select("page.author", F.explode("page.users").alias("user"))
-    )
+    pages = _parsed(lines, FOLLOWER_PAGE_JSON, lambda p: p["next_cursor"].isNotNull())
+    return pages.select("author", F.explode("users").alias("user"))
 
 
 def follower_relations(followers: DataFrame) -> DataFrame:
