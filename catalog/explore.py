@@ -162,9 +162,11 @@ WHERE a.super = b.super OR a.super = -1 OR b.super = -1 GROUP BY 1""",
 SELECT num_nodes, count(*) AS num_supers FROM (SELECT count(*) AS num_nodes FROM geo GROUP BY key_1) GROUP BY 1""",
     "interior_edge_distribution": f"""WITH {_SQL_BLOCKS}
 SELECT num_edges, count(*) AS num_supers FROM nodes GROUP BY 1""",
-    "cross_filter": f"""WITH {_SQL_BLOCKS}
+    # Selected bars without any cluster filter nothing, like no selection at all.
+    "cross_filter": f"""WITH {_SQL_BLOCKS},
+selected AS (SELECT super FROM nodes WHERE num_edges IN (0, 1) OR num_nodes = 9)
 SELECT degree, count(*) AS num_supers FROM degs
-WHERE super IN (SELECT super FROM nodes WHERE num_edges IN (0, 1) OR num_nodes = 9) GROUP BY 1""",
+WHERE super IN (SELECT super FROM selected) OR (SELECT count(*) FROM selected) = 0 GROUP BY 1""",
     "rollup_levels": f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}, p AS (
   SELECT id, CAST(key_0 AS VARCHAR) AS p0, key_0 || '/' || key_1 AS p1, key_0 || '/' || key_1 || '/' || key_2 AS p2 FROM geo),
 t AS (SELECT a.p0 AS a0, a.p1 AS a1, a.p2 AS a2, b.p0 AS b0, b.p1 AS b1, b.p2 AS b2

@@ -19,7 +19,7 @@ _MAX_ROUNDS = 50
 _EXACT_SIZES = 12
 _SIZE_RATIO = 1.25
 _SLOTS = 32
-_FIRST_BLOCK = 16
+_FIRST_BLOCK = 64
 _BLOCK_GROWTH = 8
 
 
@@ -90,46 +90,57 @@ def structural(
     return with_key_columns(keys, levels)
 
 
-def covered_sets(candidates: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _tokens(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The elements of the sets of ``sizes`` with all that the search needs of them: (id,
+    side, nbr, n_out, n_in, freq), freq counting the sets that hold the element there."""
+    kept = sets.join(sizes, "id")
+    freq = kept.groupBy("side", "nbr").agg(F.count(F.lit(1)).alias("freq"))
+    return kept.join(freq, ["side", "nbr"])
+
+
+def _shared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, cand, n_out, n_in, c_out, c_in, both_out, both_in) of the pairs (id, cand)."""
+    own = tokens.select("id", "side", "nbr", "n_out", "n_in")
+    other = tokens.select(
+        F.col("id").alias("cand"),
+        "side",
+        "nbr",
+        F.col("n_out").alias("c_out"),
+        F.col("n_in").alias("c_in"),
+    )
+    return (
+        pairs.join(own, "id")
+        .join(other, ["cand", "side", "nbr"])
+        .groupBy("id", "cand", "n_out", "n_in", "c_out", "c_in")
+        .agg(
+            F.count_if(F.col("side") == 0).alias("both_out"),
+            F.count_if(F.col("side") == 1).alias("both_in"),
+        )
+    )
+
+
+def covered_sets(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id): the candidates whose sets lie inside another vertex's sets on both sides.
 
     This is the pruning of a neighbourhood's list to its maximal entries: a set that
     covers another one holds the common neighbour too, so it is in the same list, and the
-    result is the same for every neighbourhood. ``sets`` are pairwise different. A cover is
+    result is the same for every neighbourhood. The sets are pairwise different. A cover is
     larger and contains the rarest element of the set, so only the larger holders of that
     element are compared. Few sets are ever asked about, mostly the largest of their kind.
     """
-    asked = sets.join(candidates, "id", "left_semi")
-    rarity = (
-        sets.join(asked.select("side", "nbr").distinct(), ["side", "nbr"], "left_semi")
-        .groupBy("side", "nbr")
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
+    size = F.col("n_out") + F.col("n_in")
     rarest = (
-        asked.join(rarity, ["side", "nbr"])
+        tokens.join(candidates, "id", "left_semi")
         .groupBy("id")
-        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"))
-        .select("id", "t.side", "t.nbr")
-    )
-    size = sizes.select("id", (F.col("n_out") + F.col("n_in")).alias("size"))
-    holder = (
-        sets.join(rarest.select("side", "nbr").distinct(), ["side", "nbr"], "left_semi")
-        .join(size, "id")
-        .select(F.col("id").alias("cover"), "side", "nbr", F.col("size").alias("cover_size"))
-    )
-    pairs = (
-        rarest.join(size, "id")
-        .join(holder, ["side", "nbr"])
-        .where("cover_size > size")
-        .select("id", "cover", "size")
+        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"), F.max(size).alias("size"))
+        .select("id", "size", "t.side", "t.nbr")
     )
-    shared = (
-        pairs.join(sets, "id")
-        .join(sets.withColumnRenamed("id", "cover"), ["cover", "side", "nbr"])
-        .groupBy("id", "cover", "size")
-        .agg(F.count(F.lit(1)).alias("n"))
+    holders = tokens.select(
+        F.col("id").alias("cand"), "side", "nbr", size.alias("cover_size")
     )
-    return shared.where("n = size").select("id").distinct()
+    pairs = rarest.join(holders, ["side", "nbr"]).where("cover_size > size").select("id", "cand")
+    inside = (F.col("both_out") == F.col("n_out")) & (F.col("both_in") == F.col("n_in"))
+    return _shared(pairs, tokens).where(inside).select("id").distinct()
 
 
 def _size_class(size):
@@ -147,28 +158,23 @@ def _class_floor(cls):
 
 
 def _prefix_postings(tokens: DataFrame, threshold: float) -> DataFrame:
-    """(channel, nbr, own, other, id): the elements under which a set is looked up.
+    """(channel, nbr, own, other, id, minus_size): the elements a set is looked up under.
 
     Two sets of Jaccard similarity ``threshold`` that are ordered by rarity share an
     element within their first ``size - overlap + 1``, where ``overlap`` is what their
     sizes demand. The prefix is cut per class of partner sizes (``other``), which keeps
     frequent elements out of it. Elements are ordered by a bucket of similar frequency, a
     whole bucket at a time, so a set of any size is cut without sorting it in one task;
-    the prefix can only come out longer than needed. ``tokens``: (channel, id, nbr, size).
+    the prefix can only come out longer than needed.
+
+    ``tokens``: (channel, id, nbr, size, bucket, minus_size).
     """
-    freq = tokens.groupBy("channel", "nbr").agg(F.count(F.lit(1)).alias("freq"))
-    bucket = F.floor(F.log2(F.col("freq").cast("double"))).cast("int") * _SLOTS + F.pmod(
-        F.xxhash64("nbr"), F.lit(_SLOTS)
-    ).cast("int")
-    bucketed = tokens.join(
-        freq.withColumn("bucket", bucket).drop("freq"), ["channel", "nbr"]
-    )
     # At most a few thousand buckets per set, however large the set is.
     upto = Window.partitionBy("channel", "id").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     before = (
-        bucketed.groupBy("channel", "id", "size", "bucket")
+        tokens.groupBy("channel", "id", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         .select("channel", "id", "bucket", "before")
@@ -179,57 +185,55 @@ def _prefix_postings(tokens: DataFrame, threshold: float) -> DataFrame:
         least = F.ceil(size * F.lit(threshold) - F.lit(1e-6))
         most = F.floor(size / F.lit(threshold) + F.lit(1e-6))
         partners = F.sequence(_size_class(least), _size_class(most))
+        own = _size_class(size)
     else:
         least = F.lit(1)
         partners = F.array(F.lit(0))
+        own = F.lit(0)
     partner = F.greatest(_class_floor(F.col("other")), least)
     overlap = F.greatest(
         F.ceil(F.lit(threshold / (1 + threshold)) * (size + partner) - F.lit(1e-6)), F.lit(1)
     )
-    own = _size_class(size) if threshold > 0 else F.lit(0)
     return (
-        bucketed.join(before, ["channel", "id", "bucket"])
+        tokens.join(before, ["channel", "id", "bucket"])
         .withColumn("other", F.explode(partners))
         .where(F.col("before") < size - overlap + 1)
-        .select("channel", "nbr", own.alias("own"), "other", "id")
+        .select("channel", "nbr", own.alias("own"), "other", "id", "minus_size")
     )
 
 
-def _channels(sets: DataFrame, sizes: DataFrame, threshold: float, symmetric: bool) -> DataFrame:
+def _postings(tokens: DataFrame, threshold: float, symmetric: bool) -> DataFrame:
     """Postings that every pair of two-sided similarity ``threshold`` shares.
 
     One of the two sides reaches half the threshold. Where both vertices lack a side, that
     side counts 1 and the other one must bring the rest.
     """
-    tokens = sets.join(sizes, "id")
+    slot = F.pmod(F.xxhash64("nbr"), F.lit(_SLOTS)).cast("int")
+    bucket = F.floor(F.log2(F.col("freq").cast("double"))).cast("int") * _SLOTS + slot
     size = F.when(F.col("side") == 0, F.col("n_out")).otherwise(F.col("n_in"))
-    sided = tokens.select(F.col("side").alias("channel"), "id", "nbr", size.alias("size"))
-    postings = _prefix_postings(sided, threshold / 2)
+    minus_size = -(F.col("n_out") + F.col("n_in"))
+
+    def channel(first: int) -> list:
+        return [
+            (F.col("side") + first).alias("channel"),
+            "id",
+            "nbr",
+            size.alias("size"),
+            bucket.alias("bucket"),
+            minus_size.alias("minus_size"),
+        ]
+
+    postings = _prefix_postings(tokens.select(*channel(0)), threshold / 2)
     if symmetric:
         return postings
-    lone = tokens.where("n_out = 0 OR n_in = 0").select(
-        (F.col("side") + 2).alias("channel"), "id", "nbr", size.alias("size")
-    )
+    lone = tokens.where("n_out = 0 OR n_in = 0").select(*channel(2))
     return postings.unionByName(_prefix_postings(lone, max(threshold - 1.0, 0.0)))
 
 
 def _similar(
-    pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float, mode: str, symmetric: bool
+    pairs: DataFrame, tokens: DataFrame, threshold: float, mode: str, symmetric: bool
 ) -> DataFrame:
-    """The (id, cand) pairs whose two-sided similarity reaches ``threshold``."""
-    shared = (
-        pairs.join(sets, "id")
-        .join(sets.withColumnRenamed("id", "cand"), ["cand", "side", "nbr"])
-        .groupBy("id", "cand")
-        .agg(
-            F.count_if(F.col("side") == 0).alias("both_out"),
-            F.count_if(F.col("side") == 1).alias("both_in"),
-        )
-    )
-    cand = sizes.select(
-        F.col("id").alias("cand"), F.col("n_out").alias("c_out"), F.col("n_in").alias("c_in")
-    )
-    rows = shared.join(sizes, "id").join(cand, "cand")
+    """(id, minus_size, cand) of the pairs whose two-sided similarity reaches ``threshold``."""
 
     def side(own: str, other: str, both: str):
         union = F.col(own) + F.col(other) - F.col(both)
@@ -242,13 +246,17 @@ def _similar(
     good = total >= threshold
     if mode == "subset":
         good = good & (F.col("both_out") == F.col("n_out")) & (F.col("both_in") == F.col("n_in"))
-    return rows.where(good).select("id", "cand")
+    return (
+        _shared(pairs, tokens)
+        .where(good)
+        .select("id", (-(F.col("c_out") + F.col("c_in"))).alias("minus_size"), "cand")
+    )
 
 
 def best_similar(
-    sets: DataFrame, sizes: DataFrame, threshold: float, mode: str, symmetric: bool
+    tokens: DataFrame, threshold: float, mode: str, symmetric: bool
 ) -> DataFrame:
-    """(id, cand): of the uncovered sets similar to a vertex's, the largest, the least id
+    """(id, minus_size, cand): of the uncovered sets similar to a vertex's, the largest, the least id
     among equals.
 
     Candidates of a posting are tried in that order, a block at a time. A vertex is done
@@ -257,12 +265,9 @@ def best_similar(
     posting without matches. The head of a posting is found with a row number below a
     limit, which Spark applies before the shuffle: no task sees a whole hot posting.
     """
-    conf = sets.sparkSession.conf
+    conf = tokens.sparkSession.conf
     most = int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    postings = save(_channels(sets, sizes, threshold, symmetric), "postings")
-    rank = sizes.select(
-        F.col("id").alias("cand"), (-(F.col("n_out") + F.col("n_in"))).alias("minus_size")
-    )
+    postings = save(_postings(tokens, threshold, symmetric), "postings")
     key = ["channel", "nbr", "own", "other"]
     # A candidate's own class is the partner class of whoever looks for it.
     offers = postings.select(
@@ -270,9 +275,10 @@ def best_similar(
         "nbr",
         F.col("other").alias("own"),
         F.col("own").alias("other"),
+        "minus_size",
         F.col("id").alias("cand"),
-    ).join(rank, "cand")
-    probes = postings
+    )
+    probes = postings.drop("minus_size")
     best = None
     block = _FIRST_BLOCK
     while True:
@@ -281,14 +287,10 @@ def best_similar(
             offers.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= block), "head"
         )
         pairs = probes.join(head, key).where("id <> cand").select("id", "cand").distinct()
-        similar = save(_similar(pairs, sets, sizes, threshold, mode, symmetric), "similar")
+        similar = save(_similar(pairs, tokens, threshold, mode, symmetric), "similar")
         asked = similar.select(F.col("cand").alias("id")).distinct()
-        covered = covered_sets(asked, sets, sizes).select(F.col("id").alias("cand"))
-        found = (
-            similar.join(covered, "cand", "left_anti")
-            .join(rank, "cand")
-            .select("id", "minus_size", "cand")
-        )
+        covered = covered_sets(asked, tokens).select(F.col("id").alias("cand"))
+        found = similar.join(covered, "cand", "left_anti").select("id", "minus_size", "cand")
         if best is not None:
             found = found.unionByName(best)
         best = save(
@@ -309,7 +311,7 @@ def best_similar(
         )
         probes, left = save_counted(open_probes.join(unresolved, "id", "left_semi"), "probes")
         if left == 0:
-            return best.select("id", "cand")
+            return best
         still = probes.select(*key, "last").distinct()
         offers = save(
             offers.join(still, key)
@@ -347,16 +349,13 @@ def structural_fuzzy(
     all_sets = _sets(edges, symmetric)
     twins = twin_representatives(all_sets)
     # Twins have equal sets, so one vertex per distinct set stands for all of them.
-    sizes = save(twins.where("id = rep").select("id", "n_out", "n_in"), "sizes")
-    sets = save(all_sets.join(sizes.select("id"), "id", "left_semi"), "sets")
-    best = best_similar(sets, sizes, threshold, mode, symmetric)
-    size = (F.col("n_out") + F.col("n_in")).alias("cand_size")
-    ranked = best.join(sizes.select(F.col("id").alias("cand"), size), "cand").select(
-        F.col("id").alias("rep"), "cand", "cand_size"
-    )
+    sizes = twins.where("id = rep").select("id", "n_out", "n_in")
+    tokens = save(_tokens(all_sets, sizes), "tokens")
+    best = best_similar(tokens, threshold, mode, symmetric)
+    ranked = best.select(F.col("id").alias("rep"), "minus_size", "cand")
     # For a twin the representative itself is a candidate too, of the twin's own size.
     own = F.struct((-(F.col("n_out") + F.col("n_in"))).alias("s"), F.col("rep").alias("c"))
-    other = F.struct((-F.col("cand_size")).alias("s"), F.col("cand").alias("c"))
+    other = F.struct(F.col("minus_size").alias("s"), F.col("cand").alias("c"))
     prefers_rep = (F.col("id") != F.col("rep")) & (F.col("cand").isNull() | (own < other))
     rows = save(
         twins.join(ranked, "rep", "left").select(
@@ -365,7 +364,7 @@ def structural_fuzzy(
         "choices",
     )
     asked = rows.where("prefers_rep").select(F.col("rep").alias("id")).distinct()
-    covered = covered_sets(asked, sets, sizes).select(
+    covered = covered_sets(asked, tokens).select(
         F.col("id").alias("rep"), F.lit(True).alias("covered")
     )
     takes_rep = F.col("prefers_rep") & F.col("covered").isNull()

@@ -8,9 +8,17 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 from catalog.check import session  # noqa: E402
 
 
+# Fixture tables are tiny: two partitions, and no time spent on compiling each plan.
+FIXTURE_CONF = {
+    "spark.sql.shuffle.partitions": "2",
+    "spark.sql.codegen.wholeStage": "false",
+    "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+}
+
+
 @pytest.fixture(scope="session")
 def spark():
-    return session(8)
+    return session(8, FIXTURE_CONF)
 
 
 @pytest.fixture

@@ -188,13 +188,12 @@ def _near_copies(seed, vertices=60, groups=4):
     return sorted((a, b) for a, b in edges if a != b)
 
 
-@pytest.mark.parametrize("block", [1, 64])
 @pytest.mark.parametrize(
-    "threshold, mode, symmetric",
-    [(1.0, "plain", True), (1.3, "plain", True), (1.0, "plain", False), (1.7, "plain", False),
-     (1.0, "subset", True), (1.2, "subset", False)],
+    "threshold, mode, symmetric, block",
+    [(1.0, "plain", True, 64), (1.3, "plain", True, 1), (1.0, "plain", False, 2),
+     (1.7, "plain", False, 64), (1.0, "subset", True, 1), (1.2, "subset", False, 64)],
 )
-def test_fuzzy_near_copies(edges_of, monkeypatch, block, threshold, mode, symmetric):
+def test_fuzzy_near_copies(edges_of, monkeypatch, threshold, mode, symmetric, block):
     monkeypatch.setattr(equivalence, "_FIRST_BLOCK", block)
     monkeypatch.setattr(equivalence, "_BLOCK_GROWTH", 3)
     edges = _near_copies(int(threshold * 10))
