@@ -13,7 +13,7 @@ from strata.sources.edges import read_libsvm
 
 _NUMERIC = ["followers_count", "friends_count", "num_tweets", "num_user_relations"]
 _CATEGORICAL = ["time_zone"]
-_HASHED = 1 << 10
+_HASHED = 256
 
 
 def _training(spark, sf):

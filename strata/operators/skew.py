@@ -73,7 +73,9 @@ class EdgeIndex:
         if self._kept:
             conf = table.sparkSession.conf.get("spark.sql.shuffle.partitions")
             parts = min(max(int(conf), rows // ROWS_PER_PARTITION), MAX_PARTITIONS)
-            table = table.repartition(parts, *self._on).persist(StorageLevel.MEMORY_AND_DISK)
+            # Sorted too, so that a sort-merge join finds its order and sorts the frontier only.
+            table = table.repartition(parts, *self._on).sortWithinPartitions(*self._on)
+            table = table.persist(StorageLevel.MEMORY_AND_DISK)
         self.table = table
 
     def expand(self, frontier: DataFrame) -> DataFrame:

@@ -22,10 +22,14 @@ def feature_pipeline(
     categorical: Sequence[str],
     algo: str = "tree",
     label: str = "label",
-    num_features: int = 1 << 18,
+    num_features: int = 1 << 12,
     seed: int = 0,
 ) -> Pipeline:
-    """Index the categories, hash all columns into one vector, fit a tree or a forest."""
+    """Index the categories, hash all columns into one vector, fit a tree or a forest.
+
+    Tree training holds one number per hashed slot and row, so ``num_features`` should stay
+    a small multiple of the square of the number of columns (few collisions) and no more.
+    """
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep")
         for c in categorical

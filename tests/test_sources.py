@@ -52,13 +52,13 @@ def test_wire_key_value(lines):
 
 
 def test_store_layouts(lines):
-    early = store.parse_store(lines("(Reloaded_Kore,politics 0 0 0 0 False False low some free text)"), "tag_uses_with_text")
+    early = store.parse_store(lines("(some_user,politics 0 0 0 0 False False low some free text)"), "tag_uses_with_text")
     assert rows(early) == [
-        ("Reloaded_Kore", "politics", 0, 0, 0, 0, False, False, "low", "some free text")
+        ("some_user", "politics", 0, 0, 0, 0, False, False, "low", "some free text")
     ]
     late = store.parse_store(lines("(u1,news 1555912800000 1 2 3 4 true None low)"), "tag_uses")
     assert rows(late) == [("u1", "news", 1555912800000, 1, 2, 3, 4, True, False, "low")]
-    assert rows(store.parse_store(lines("(Chowdhuri007,MAMUNTK)"), "relations")) == [("Chowdhuri007", "MAMUNTK")]
+    assert rows(store.parse_store(lines("(first_user,second_user)"), "relations")) == [("first_user", "second_user")]
 
 
 def test_edge_list(lines):
