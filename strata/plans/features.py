@@ -26,15 +26,12 @@ def slot_counts(uses: DataFrame, as_of: dt.datetime) -> DataFrame:
     Slot s covers ages in (s-1, s] days; ``edge`` marks ages of exactly s days, which the
     open far end of the look-back window excludes.
     """
-    age = F.col("age")
+    slot = F.expr(f"(age + {_DAY_US - 1}) div {_DAY_US}").cast("int")
     return (
-        uses.select("id", "hashtag", _age_us(as_of).alias("age"))
-        .where(age > 0)
+        uses.where(F.col("ts") < F.lit(as_of).cast("timestamp_ntz"))
+        .select("id", "hashtag", _age_us(as_of).alias("age"))
         .groupBy(
-            "id",
-            "hashtag",
-            F.ceil(age / F.lit(_DAY_US)).cast("int").alias("slot"),
-            (age % F.lit(_DAY_US) == 0).alias("edge"),
+            "id", "hashtag", slot.alias("slot"), (F.col("age") % _DAY_US == 0).alias("edge")
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )

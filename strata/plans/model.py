@@ -58,8 +58,12 @@ def vector_pipeline(
 
 
 def train(df: DataFrame, pipeline: Pipeline, path: str | None = None) -> PipelineModel:
-    """Fit, and store the model at ``path`` so that scoring jobs can load it."""
-    model = pipeline.fit(df)
+    """Fit, and store the model at ``path`` so that scoring jobs can load it.
+
+    The rows are spread over all cores first: training passes over them many times, and a
+    small or skewed input may sit in few partitions.
+    """
+    model = pipeline.fit(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
     if path is not None:
         model.write().overwrite().save(path)
     return model
