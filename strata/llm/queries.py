@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import exact, tokens
+from strata.llm import exact, packing, tokens
 from strata.llm.tables import read
 
 
@@ -16,9 +16,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {
