@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.tables import map_batches, row_number, texts_of
+from strata.llm.tables import every, map_batches, row_number, texts_of
 from strata.session import save
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -122,4 +122,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of the stored table ``docs`` that stay, with all their columns."""
     gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__strata_row"))
-    return row_number(docs, "__strata_row").join(gone, "__strata_row", "left_anti").select(*docs.columns)
+    return row_number(docs, "__strata_row").join(gone, "__strata_row", "left_anti").select(*every(docs))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.hashing import lower_ascii, mix, window_hashes, word_hashes
-from strata.llm.tables import map_batches, slices, texts_of
+from strata.llm.tables import every, map_batches, slices, texts_of
 from strata.operators.components import components
 from strata.session import save, save_counted
 
@@ -365,4 +365,4 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     gone = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__strata_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__strata_gone"], "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["__strata_gone"], "left_anti").select(*every(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import exact, near, packing, substrings, tokens
+from strata.llm import exact, mixing, near, packing, substrings, tokens
 from strata.llm.tables import read
 
 
@@ -17,6 +17,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, take: total + take["words"])
+    planned = mixing.plan(read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -33,6 +39,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
