@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import exact, langid, mixing, near, packing, substrings, tokens
+from strata.llm import exact, langid, mixing, near, packing, substrings, tokens, topk
 from strata.llm.tables import read
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(read(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
@@ -42,6 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_exact_topk": op2_exact_topk,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
@@ -51,6 +56,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_exact_topk": """
+        WITH sized AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM sized q JOIN sized c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op4_exact_dedup": r"""
         WITH bare AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
