@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import exact, langid, mixing, near, packing, substrings, tokens, topk
+from strata.llm import chat, exact, langid, mixing, near, packing, substrings, tokens, topk
 from strata.llm.tables import read
 
 
@@ -17,6 +17,15 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(turns.withColumn("parts", chat.text_parts("text"))))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
@@ -47,6 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_topk": op2_exact_topk,
+    "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
