@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, exact, langid, mixing, near, packing, substrings, tokens, topk
+from strata.llm import chat, exact, langid, mixing, near, packing, substrings, tokens, topk, warc
 from strata.llm.tables import read
+from strata.session import new_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archive(warc.page_records(read(spark, sf_dir, "pages")), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    response = F.col("record_type") == "response"
+    return warc.read_archive(spark, path).select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256))
+        .otherwise(F.regexp_replace("payload_digest", "^sha256:", ""))
+        .alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
@@ -61,6 +78,7 @@ QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -93,4 +111,14 @@ ORACLES = {
         FROM bare
         WINDOW same AS (PARTITION BY body ORDER BY n_chars DESC, doc_id)
     """,
+    "op8_warc": """
+        WITH bare AS (
+            SELECT page_id, coalesce(html, '') AS body, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+            FROM pages),
+        grouped AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM bare)
+        SELECT page_id, payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM grouped
+    """,
 }
