@@ -30,8 +30,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from strata.llm.tables import every, map_batches, slices, texts_of
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4, 5), 16, 128
-PER_LANGUAGE, MAX_LANGUAGES, EPOCHS = 500, 1000, 5
-UNKNOWN, MIN_SCORE = "und", 0.5
+PER_LANGUAGE, MAX_LANGUAGES, STEPS = 500, 1000, 800
+UNKNOWN, MIN_SCORE = "und", 0.3
 _CROPS, _BATCH, _RATE = 4, 64, 0.004
 _STRIDE = WINDOW - max(WIDTHS) + 1
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -93,18 +93,18 @@ class Network:
         dense = np.concatenate((np.maximum(pooled, 0).T @ error, error.sum(axis=0, keepdims=True)))
         return [*out, dense]
 
-    def train(self, rows: np.ndarray, labels: np.ndarray, epochs: int, draw: np.random.Generator) -> None:
+    def train(self, rows: np.ndarray, labels: np.ndarray, steps: int, draw: np.random.Generator) -> None:
         weights = [*self.filters, self.dense]
         first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
-        step = 0
-        for _ in range(epochs):
-            order = draw.permutation(len(labels))
-            for at in range(0, len(order), _BATCH):
-                pick, step = order[at : at + _BATCH], step + 1
-                for w, g, m, v in zip(weights, self.gradients(rows[pick], labels[pick]), first, second):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    w -= _RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        order = np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = draw.permutation(len(labels))
+            pick, order = order[:_BATCH], order[_BATCH:]
+            for w, g, m, v in zip(weights, self.gradients(rows[pick], labels[pick]), first, second):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                w -= _RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
     def classify(self, texts: list[bytes]) -> Iterator[tuple[str, float]]:
         """(language, score) of every whole text."""
@@ -181,14 +181,14 @@ def sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray,
     return data, np.repeat([number[r["lang"]] for r in kept], _CROPS), languages
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 3) -> Network | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, steps: int = STEPS, seed: int = 3) -> Network | None:
     """A network trained on ``text`` and ``lang``; None if no language is known."""
     rows, labels, languages = sample(docs, per_language)
     if not languages:
         return None
     draw = np.random.default_rng(seed)
     network = Network.new(languages, draw)
-    network.train(rows, labels, epochs, draw)
+    network.train(rows, labels, steps, draw)
     return network
 
 

@@ -55,14 +55,14 @@ def test_rows_of_any_kind(spark):
            (103, "the dog " * 9000, None, "x"), (104, "é", None, "x"), (104, "é", "de", "x")],
         "doc_id long, text string, lang string, score string",
     )
-    got = langid.predictions(docs, epochs=30)
+    got = langid.predictions(docs)
     rows = [tuple(r) for r in got.collect()]
     by = {r[0]: r for r in rows}
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and len(rows) == 47
     assert all(by[d][2:] == ("und", 0.0) for d in (100, 101, 102))
     assert by[103][2] == "en" and by[0][2] == "en" and by[1][2] == "de" and by[None][1] is False
     assert len({r for r in rows if r[0] == 104}) == 1
-    kept = langid.identified(docs, epochs=30)
+    kept = langid.identified(docs)
     assert kept.columns == docs.columns and kept.where("doc_id IN (100, 101, 102)").count() == 0
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null AS string) AS lang")
     assert {r["lang_pred"] for r in langid.predictions(unlabelled).collect()} == {"und"}
