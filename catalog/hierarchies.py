@@ -47,10 +47,8 @@ def avg_path_length(spark, sf):
 
 
 def connected_components(spark, sf):
-    """Components of the customers under the links between neighbouring nations' customers."""
-    people = I.people(spark, sf).select("id", "nation")
-    t = graph.triplets(people, I.follow(spark, sf)).where("src_nation = dst_nation")
-    return components.components(I.vertices(spark, sf), t.select("src", "dst"))
+    """Components of all customers under the follow links."""
+    return components.components(I.vertices(spark, sf), I.follow(spark, sf))
 
 
 def geo_components(spark, sf):
@@ -244,8 +242,7 @@ ids AS (SELECT src AS id FROM follow UNION SELECT dst FROM follow),
 marks AS (SELECT id FROM ids ORDER BY md5(id || ':0'), id LIMIT 10), {_sql_distances("d", "marks")}
 SELECT round(avg(m), 6) AS avg_path_length FROM (SELECT sum(hops) // count(*) AS m FROM d GROUP BY id)""",
     "connected_components": f"""WITH RECURSIVE {I.SQL_FOLLOW}, ids AS (SELECT c_custkey AS id FROM customer),
-pairs AS (SELECT src, dst FROM follow JOIN customer a ON a.c_custkey = src JOIN customer b ON b.c_custkey = dst
-  WHERE a.c_nationkey = b.c_nationkey), {_sql_components("ids", "pairs")}
+{_sql_components("ids", "follow")}
 SELECT id, component FROM cc""",
     "geo_components": f"""WITH RECURSIVE {I.SQL_GEO_EDGES},
 ids AS (SELECT src AS id FROM geo_edges UNION SELECT dst FROM geo_edges), {_sql_components("ids", "geo_edges")}

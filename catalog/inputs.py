@@ -18,6 +18,8 @@ from strata.operators.graph import name_id
 
 AS_OF = dt.datetime(2024, 1, 31)
 BEGIN = dt.datetime(2024, 1, 1)
+# Within the events: what comes later must not be seen.
+SCORE_AS_OF = dt.datetime(2024, 1, 20)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -189,7 +189,7 @@ def tag_features(spark, sf):
 
 def score_features(spark, sf):
     rows = features.score_features(
-        I.uses(spark, sf), I.follow(spark, sf), I.profiles(spark, sf), I.AS_OF
+        I.uses(spark, sf), I.follow(spark, sf), I.profiles(spark, sf), I.SCORE_AS_OF
     )
     return rows.select("id", "hashtag", "num_tweets", "num_user_relations", "followers_count", "time_zone")
 
@@ -402,9 +402,9 @@ FROM ids LEFT JOIN (SELECT * FROM profiles WHERE verified) p ON p.id = ids.id"""
     "symmetrize": f"""WITH {I.SQL_FOLLOW}
 SELECT src, dst FROM follow UNION ALL SELECT dst, src FROM follow""",
     "sample_vertices": f"""WITH {I.SQL_FOLLOW}, share AS (
-  SELECT CAST(floor(least(500.0 / count(*), 1.0) * 4294967296) AS BIGINT) AS bound FROM customer),
+  SELECT CAST(floor(least(500.0 / count(*), 1.0) * 1152921504606846976) AS BIGINT) AS bound FROM customer),
 kept AS (SELECT c_custkey AS id FROM customer, share
-  WHERE bound >= 4294967296 OR CAST('0x' || substr(md5(c_custkey || ':7'), 1, 8) AS BIGINT) < bound),
+  WHERE bound >= 1152921504606846976 OR CAST('0x' || substr(md5(c_custkey || ':7'), 1, 15) AS BIGINT) < bound),
 e AS (SELECT * FROM follow WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept))
 SELECT id, (SELECT count(*) FROM e WHERE src = id) AS out_degree, (SELECT count(*) FROM e WHERE dst = id) AS in_degree
 FROM kept""",
@@ -450,7 +450,8 @@ FROM rows r JOIN profiles p ON p.id = r.id
 LEFT JOIN own ON own.id = r.id AND own.hashtag = r.hashtag AND own.t = r.t
 LEFT JOIN theirs ON theirs.id = r.id AND theirs.hashtag = r.hashtag AND theirs.t = r.t""",
     "score_features": f"""WITH {I.SQL_FOLLOW}, {I.SQL_USES}, {I.SQL_PROFILES},
-own AS (SELECT id, hashtag, count(*) FILTER (ts > TIMESTAMP '2024-01-31' - INTERVAL 3 DAY) AS n FROM uses GROUP BY 1, 2),
+own AS (SELECT id, hashtag, count(*) FILTER (ts > TIMESTAMP '2024-01-20' - INTERVAL 3 DAY) AS n FROM uses
+  WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1, 2),
 theirs AS (SELECT src AS id, hashtag, CAST(sum(n) AS BIGINT) AS n FROM own JOIN follow ON dst = own.id GROUP BY 1, 2)
 SELECT own.id, own.hashtag, own.n AS num_tweets, coalesce(theirs.n, 0) AS num_user_relations, followers_count, time_zone
 FROM own JOIN profiles p ON p.id = own.id

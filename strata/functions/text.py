@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
 
-# Fixed values of the wire format: what stands for the delimiters inside free text.
-ESCAPES = {":": "U+003A", ",": "U+002C"}
+# Fixed values of the wire format: what stands for the delimiters inside free text. Line
+# breaks end a line of the feed, so they are written in the same way.
+ESCAPES = {":": "U+003A", ",": "U+002C", "\n": "U+000A", "\r": "U+000D"}
 
 
 def escape_delimiters(text: Column) -> Column:

@@ -19,11 +19,14 @@ def name_id(name: Column) -> Column:
 
 
 def surrogate_ids(names: DataFrame, name: str = "screen_name") -> DataFrame:
-    """(name, id) for every distinct name; two names never share an id.
+    """(name, id) for every distinct name, no id twice.
 
     The id is a hash, so it needs no global numbering and does not change between runs.
-    Names that collide (a handful in billions) are told apart by their order: the window
-    groups hold the names of one hash value, which is one row but for collisions.
+    Of names that collide (a handful in billions) the first by order keeps the hash and the
+    others are hashed anew with their rank; should one of these new ids be taken as well,
+    the job fails rather than merge two users. A collision's ids depend on who else
+    collides, so they can change when such a name is added. The window groups hold the
+    names of one hash value, which is one row but for collisions.
     """
     distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
     rank = F.row_number().over(Window.partitionBy("id").orderBy(name))
@@ -36,6 +39,10 @@ def surrogate_ids(names: DataFrame, name: str = "screen_name") -> DataFrame:
                 name_id(F.concat_ws("#", F.col(name), F.col("_rank").cast("string")))
             ),
         )
+        .withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy("id")))
+        .withColumn("id", F.when(F.col("_again") == 1, F.col("id")).otherwise(
+            F.raise_error(F.concat(F.lit("two names share the id "), F.col("id").cast("string"))).cast("bigint")
+        ))
         .select(name, "id")
     )
 
@@ -162,16 +169,23 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 
 def sample_hash(vertex_id: Column, seed: int) -> Column:
-    """A reproducible pseudo-random text per id; its first 8 hex digits are uniform."""
+    """A reproducible pseudo-random text per id; its first 15 hex digits are uniform."""
     return F.md5(F.concat_ws(":", vertex_id.cast("string"), F.lit(str(seed))))
 
 
+def below_share(key: Column, fraction: float, seed: int) -> Column:
+    """True for a share of the keys; 60 bits, so ten of 10^11 are a sample too."""
+    bound = f"{int(min(max(fraction, 0.0), 1.0) * 2**60):015x}"
+    if len(bound) > 15:
+        return F.lit(True)
+    return F.substring(sample_hash(key, seed), 1, 15) < bound
+
+
 def hash_sample(vertices: DataFrame, fraction: float, seed: int) -> DataFrame:
     """A random sample that is the same on every run and after every retry."""
     if fraction >= 1:
         return vertices
-    bound = f"{int(max(fraction, 0.0) * 2**32):08x}"
-    return vertices.where(F.substring(sample_hash(F.col("id"), seed), 1, 8) < bound)
+    return vertices.where(below_share(F.col("id"), fraction, seed))
 
 
 def sample_vertices(

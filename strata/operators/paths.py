@@ -19,14 +19,15 @@ def landmark_pointers(
 
     ``edges`` is a stored table of distinct (src, dst), ``landmarks`` has a column ``id``.
     A breadth-first wave walks the edges backwards; the state holds one narrow row per
-    (vertex, landmark) and no path. ``max_hops`` leaves farther pairs out.
+    (vertex, landmark) and no path. A pair farther apart than ``max_hops`` raises: nothing is
+    left out silently.
     """
     start = landmarks.select(
         "id", F.col("id").alias("landmark"), F.lit(None).cast("bigint").alias("next")
     )
     rounds = Rounds(start, "landmarks")
     with EdgeIndex(edges, toward="src") as index:
-        while max_hops is None or rounds.round < max_hops:
+        while True:
             reached = (
                 index.expand(rounds.frontier.select("id", "landmark"))
                 .groupBy(F.col("nbr").alias("id"), "landmark")
@@ -34,9 +35,15 @@ def landmark_pointers(
             )
             if not rounds.add(rounds.without_settled(reached, ["id", "landmark"])):
                 break
+            _check_hops(rounds, max_hops)
     return rounds.all().withColumnRenamed("round", "hops")
 
 
+def _check_hops(rounds: Rounds, max_hops: int | None) -> None:
+    if max_hops is not None and rounds.round > max_hops:
+        raise RuntimeError(f"there are paths of more than {max_hops} hops")
+
+
 def expand_paths(pointers: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, landmark, pos, at, node): the steps of the paths of ``pairs``.
 
@@ -75,7 +82,7 @@ def landmark_paths(
     )
     rounds = Rounds(start, "paths")
     with EdgeIndex(edges, toward="src") as index:
-        while max_hops is None or rounds.round < max_hops:
+        while True:
             longer = F.concat(F.array(F.col("id")), F.col("path"))
             reached = (
                 index.expand(rounds.frontier)
@@ -85,6 +92,7 @@ def landmark_paths(
             )
             if not rounds.add(rounds.without_settled(reached, ["id", "landmark"])):
                 break
+            _check_hops(rounds, max_hops)
     return rounds.all().select("id", "landmark", F.col("round").alias("hops"), "path")
 
 

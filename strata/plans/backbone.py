@@ -156,7 +156,7 @@ def keep_one(
 
 
 def pick_important(
-    edges: DataFrame, vertices: DataFrame, seed: int = 0, max_hops: int | None = 100
+    edges: DataFrame, vertices: DataFrame, seed: int = 0, max_hops: int | None = None
 ) -> DataFrame:
     """The vertices of keep_all: k is 100 over the average path length, at least 2; of all
     vertices whose total degree reaches the k-th largest, a random k (all if fewer).
@@ -171,7 +171,7 @@ def pick_important(
 
 
 def keep_all_backbone(
-    edges: DataFrame, important: DataFrame, max_hops: int | None = 100
+    edges: DataFrame, important: DataFrame, max_hops: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Backbone of all shortest paths between the important vertices."""
     pointers = paths.landmark_pointers(edges, important, max_hops)
@@ -185,7 +185,7 @@ def keep_all(
     seed: int = 0,
     levels: int = 5,
     important: DataFrame | None = None,
-    max_hops: int | None = 100,
+    max_hops: int | None = None,
 ) -> DataFrame:
     """Hierarchy around all shortest paths between the important vertices. Vertices with a
     uniform key (the backbone itself, and what no edge leads to it) are left out."""

@@ -21,6 +21,8 @@ _SIZE_RATIO = 1.25
 _SLOTS = 32
 _FIRST_BLOCK = 64
 _BLOCK_GROWTH = 8
+# Spark applies a row-number limit before the shuffle up to this many rows by default.
+_LAST_BLOCK = 1000
 
 
 def _sets(edges: DataFrame, symmetric: bool) -> DataFrame:
@@ -265,8 +267,6 @@ def best_similar(
     posting without matches. The head of a posting is found with a row number below a
     limit, which Spark applies before the shuffle: no task sees a whole hot posting.
     """
-    conf = tokens.sparkSession.conf
-    most = int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     postings = save(_postings(tokens, threshold, symmetric), "postings")
     key = ["channel", "nbr", "own", "other"]
     # A candidate's own class is the partner class of whoever looks for it.
@@ -320,7 +320,7 @@ def best_similar(
             "offers",
         )
         probes = probes.drop("last")
-        block = min(block * _BLOCK_GROWTH, most)
+        block = min(block * _BLOCK_GROWTH, _LAST_BLOCK)
 
 
 def structural_fuzzy(

@@ -125,10 +125,11 @@ def score_features(
     as_of: dt.datetime,
     lookback_days: int = 3,
 ) -> DataFrame:
-    """Scoring rows: every user who ever used a tag, with the own and the followers' uses
-    later than ``as_of`` minus the look-back."""
+    """Scoring rows: every user who used a tag up to ``as_of``, with the own and the
+    followers' uses later than ``as_of`` minus the look-back. Later uses do not exist yet."""
     recent = _age_us(as_of) < lookback_days * _DAY_US
-    own = uses.groupBy("id", "hashtag").agg(F.count_if(recent).alias("n"))
+    known = uses.where(F.col("ts") <= F.lit(as_of).cast("timestamp_ntz"))
+    own = known.groupBy("id", "hashtag").agg(F.count_if(recent).alias("n"))
     zero = F.lit(0).cast("bigint")
     mine = own.select(
         "id",

@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorIndexer
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.graph import sample_hash
+from strata.operators.graph import below_share
 from strata.sources.sinks import write_predictions
 
 _ALGORITHMS = {"tree": DecisionTreeRegressor, "forest": RandomForestRegressor}
@@ -27,8 +27,8 @@ def feature_pipeline(
 ) -> Pipeline:
     """Index the categories, hash all columns into one vector, fit a tree or a forest.
 
-    Tree training holds one number per hashed slot and row, so ``num_features`` should stay
-    a small multiple of the square of the number of columns (few collisions) and no more.
+    Tree training holds one number per hashed slot and row, so ``num_features`` may be
+    small; that no two columns share a slot is checked, and raises if they do.
     """
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep")
@@ -39,10 +39,21 @@ def feature_pipeline(
         outputCol="features",
         numFeatures=num_features,
     )
+    _check_slots(hasher)
     regressor = _ALGORITHMS[algo](labelCol=label, featuresCol="features", seed=seed)
     return Pipeline(stages=[*indexers, hasher, regressor])
 
 
+def _check_slots(hasher: FeatureHasher) -> None:
+    """Every input is a number, whose slot depends on its column's name alone: a row of
+    ones shows as many slots as there are columns, unless two of them collide."""
+    columns = hasher.getInputCols()
+    ones = SparkSession.active().range(1).select(*[F.lit(1.0).alias(c) for c in columns])
+    vector = hasher.transform(ones).first()["features"]
+    if vector.numNonzeros() < len(columns) or max(vector.values) > 1:
+        raise ValueError(f"input columns share one of the {hasher.getNumFeatures()} slots; raise num_features")
+
+
 def vector_pipeline(
     algo: str = "forest", max_categories: int = 4, seed: int = 0
 ) -> Pipeline:
@@ -60,10 +71,13 @@ def vector_pipeline(
 def train(df: DataFrame, pipeline: Pipeline, path: str | None = None) -> PipelineModel:
     """Fit, and store the model at ``path`` so that scoring jobs can load it.
 
-    The rows are spread over all cores first: training passes over them many times, and a
-    small or skewed input may sit in few partitions.
+    Rows that come from fewer files than there are cores are spread first, since training
+    passes over them many times; a larger input keeps its partitions.
     """
-    model = pipeline.fit(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    model = pipeline.fit(df)
     if path is not None:
         model.write().overwrite().save(path)
     return model
@@ -86,8 +100,7 @@ def split(
     df: DataFrame, key: Sequence[str], fraction: float, seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """A random split by the rows' key: the same rows on each side in every run."""
-    text = F.concat_ws("/", *[F.col(c).cast("string") for c in key])
-    share = F.substring(sample_hash(text, seed), 1, 8) < F.lit(f"{int(fraction * 2**32):08x}")
+    share = below_share(F.concat_ws("/", *[F.col(c).cast("string") for c in key]), fraction, seed)
     return df.where(share), df.where(~share)
 
 

@@ -8,7 +8,6 @@ and not by guess), and keeps plans short.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,16 +25,15 @@ RECOMMENDED_CONF = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the session names it."""
+    """The shared folder for intermediate tables, as the session names it.
+
+    Where ``spark.checkpoint.dir`` is unset, a folder in the session's warehouse, which all
+    executors share as well. The session's own checkpoint folder is left as it is.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is unset: name a folder that all executors share"
-        )
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strata-tables"
 
 
 def _run_root(spark: SparkSession) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SALTS = 8
+
+
 def key_columns(hierarchy: DataFrame) -> list[str]:
     return [c for c in hierarchy.columns if c.startswith("key_")]
 
@@ -26,13 +29,18 @@ def write_hierarchy(hierarchy: DataFrame, path: str) -> None:
 def write_predictions(
     predictions: DataFrame, path: str, by: str = "tag", fmt: str = "parquet"
 ) -> None:
-    """One directory per tag; vector and helper columns are dropped."""
+    """One directory per tag; vector and helper columns are dropped.
+
+    Rows meet by tag and one of some salts, so a tag has few files and a hot tag several.
+    """
     helpers = [
         name
         for name, dtype in predictions.dtypes
         if dtype == "vector" or name.endswith("_index")
     ]
-    predictions.drop(*helpers).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    salt = F.pmod(F.xxhash64(*(c for c in predictions.columns if c not in helpers)), F.lit(_SALTS))
+    placed = predictions.drop(*helpers).repartition(F.col(by), salt)
+    placed.write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

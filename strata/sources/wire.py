@@ -41,20 +41,25 @@ def _field(i: int) -> Column:
     return F.get(F.col("fields"), F.lit(i))
 
 
+def _string(i: int) -> Column:
+    """A string field; ``None`` stands for NULL."""
+    return F.nullif(unescape_delimiters(_field(i)), F.lit("None"))
+
+
 def _int(i: int) -> Column:
     return _field(i).try_cast("int")
 
 
 def decode_relations(lines: DataFrame) -> DataFrame:
     return records(lines).select(
-        F.trim(_field(0)).alias("user"), F.trim(_field(1)).alias("follower")
+        F.trim(_string(0)).alias("user"), F.trim(_string(1)).alias("follower")
     )
 
 
 def decode_tag_uses(lines: DataFrame) -> DataFrame:
     return records(lines).select(
-        _field(0).alias("screen_name"),
-        _field(1).alias("hashtag"),
+        _string(0).alias("screen_name"),
+        _string(1).alias("hashtag"),
         lenient_millis(_field(2)).alias("time"),
         _int(3).alias("quote_count"),
         _int(4).alias("reply_count"),
@@ -62,14 +67,14 @@ def decode_tag_uses(lines: DataFrame) -> DataFrame:
         _int(6).alias("favorite_count"),
         lenient_boolean(_field(7)).alias("favorited"),
         lenient_boolean(_field(8)).alias("retweeted"),
-        _field(9).alias("filter_level"),
-        unescape_delimiters(_field(10)).alias("text"),
+        _string(9).alias("filter_level"),
+        _string(10).alias("text"),
     )
 
 
 def decode_profiles(lines: DataFrame) -> DataFrame:
     return records(lines).select(
-        _field(0).alias("screen_name"),
+        _string(0).alias("screen_name"),
         _int(1).alias("followers_count"),
         _int(2).alias("friends_count"),
         _int(3).alias("listed_count"),
@@ -97,13 +102,16 @@ def decode_wire(lines: DataFrame, kind: str) -> DataFrame:
 def _text(name: str, dtype: str) -> Column:
     if dtype == "boolean":
         return F.initcap(F.col(name).cast("string"))
-    return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+    text = F.col(name).cast("string")
+    return F.coalesce(escape_delimiters(text) if dtype == "string" else text, F.lit("None"))
 
 
 def encode_wire(df: DataFrame) -> DataFrame:
-    """One wire line per row of a relation, tag-use or profile frame."""
+    """One wire line per row of a relation, tag-use or profile frame.
+
+    Delimiters and line breaks are escaped in every string; NULL is written ``None``.
+    """
     parts = [
-        escape_delimiters(F.col(name)) if name == "text" else _text(name, dtype)
-        for name, dtype in df.dtypes
+        _text(name, dtype) for name, dtype in df.dtypes
     ]
     return df.select(F.concat(F.concat_ws(",", *parts), F.lit(",:")).alias("value"))

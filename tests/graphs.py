@@ -3,19 +3,16 @@
 import itertools
 import random
 
-F1 = [(2, 1), (3, 1), (4, 1)]
-F1 += [(5, i) for i in (2, 3, 4, 10, 11, 12, 14, 15, 16)]
-F1 += [(i, j) for i in (6, 7, 8) for j in (5, 9)]
-F1 += [(13, i) for i in (10, 11, 12)]
-F1 += [(i, j) for i in (14, 15, 16) for j in (5, 17)]
-F1 += [(17, i) for i in (14, 15, 16)]
-
-F2 = [(1, 2), (1, 3), (1, 4), (4, 5), (5, 6), (5, 7)]
-F2 += [(b, a) for a, b in F2]
-
-F3 = [(1, i) for i in (2, 3, 4, 5)] + [(2, i) for i in (1, 3, 4, 5)]
-F3 += [(3, i) for i in (1, 2, 4, 6)] + [(4, i) for i in (1, 2, 3, 6)]
-F3 += [(5, 1), (5, 2), (6, 3), (6, 4), (6, 7), (7, 6), (7, 8), (8, 7)]
+# Classes of vertices with equal neighbours: all of one class link to all of another.
+CLASSES = [(1, 2), (3, 4, 5), (6,), (7, 8, 9), (10, 11)]
+BLOWN_UP = [(a, b) for i, j in [(0, 1), (1, 2), (2, 3), (2, 4), (3, 2)] for a in CLASSES[i] for b in CLASSES[j]]
+
+# A chain 20 - 21 - 22 - 23 with three leaves at one end and two at the other, both ways.
+_LINKS = [(20, 21), (21, 22), (22, 23), (20, 24), (20, 25), (20, 26), (23, 27), (23, 28)]
+CHAIN = _LINKS + [(b, a) for a, b in _LINKS]
+
+# Out-degrees fall along 1 - 2 - 6 - 8.
+FALLING = [(1, 2), (1, 3), (1, 4), (1, 5), (2, 6), (2, 7), (2, 9), (6, 8), (6, 9)]
 
 
 def random_edges(n, m, seed, hub=0.0):

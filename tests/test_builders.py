@@ -13,11 +13,12 @@ def keys(hierarchy):
 
 
 def test_landmark_paths_fixture(edges_of, ids_of):
-    rows = paths.landmark_paths(edges_of(graphs.F2), ids_of([1, 5])).collect()
+    rows = paths.landmark_paths(edges_of(graphs.CHAIN), ids_of([20, 23])).collect()
     got = {(r["id"], r["landmark"]): list(r["path"]) for r in rows}
-    assert got[6, 1] == [5, 4, 1] and got[2, 5] == [1, 4, 5] and got[1, 1] == []
-    pointers = paths.landmark_pointers(edges_of(graphs.F2), ids_of([1, 5]))
-    assert paths.average_hops(pointers).first()[0] == pytest.approx(11 / 7)
+    assert got[27, 20] == [23, 22, 21, 20] and got[24, 23] == [20, 21, 22, 23] and got[20, 20] == []
+    pointers = paths.landmark_pointers(edges_of(graphs.CHAIN), ids_of([20, 23]))
+    # Whole means of the hops to 20 and 23: 1 for the chain, 2 for the leaves.
+    assert paths.average_hops(pointers).first()[0] == pytest.approx((4 * 1 + 5 * 2) / 9)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -43,9 +44,17 @@ def test_expanded_paths_match(edges_of, ids_of):
     assert got == want
 
 
-def test_max_hops_leaves_far_pairs_out(edges_of, ids_of):
-    near = paths.landmark_pointers(edges_of(graphs.F2), ids_of([1]), max_hops=2)
-    assert {r["id"] for r in near.collect()} == {1, 2, 3, 4, 5}
+def test_max_hops_raises_when_it_is_reached(edges_of, ids_of):
+    edges = edges_of(graphs.CHAIN)
+    assert paths.landmark_pointers(edges, ids_of([20]), max_hops=4).count() == 9
+    with pytest.raises(RuntimeError, match="more than 2 hops"):
+        paths.landmark_pointers(edges, ids_of([20]), max_hops=2)
+
+
+def test_far_pairs_are_in_the_closure(edges_of, ids_of):
+    ends = ids_of([0, 130])
+    pointers = paths.landmark_pointers(edges_of([(i, i + 1) for i in range(130)]), ends)
+    assert [tuple(r) for r in paths.closure(pointers, ends).collect()] == [(0, 130, 130)]
 
 
 @pytest.mark.parametrize("m", [15, 40, 120])
@@ -70,11 +79,11 @@ def test_spanning_forest_is_kruskals(spark, seed):
 
 
 def test_keep_one_fixture(edges_of):
-    got = keys(backbone.keep_one(edges_of(graphs.F2), min_out_degree=2))
-    want = {v: [v] * 5 for v in (1, 4, 5)}
-    want.update({v: [1, v, v, v, v] for v in (2, 3)})
-    want.update({v: [5, v, v, v, v] for v in (6, 7)})
-    assert got == want
+    got = keys(backbone.keep_one(edges_of(graphs.CHAIN), min_out_degree=2))
+    want = {v: [v] * 5 for v in (20, 21, 22, 23)}
+    want.update({v: [20, v, v, v, v] for v in (24, 25, 26)})
+    want.update({v: [23, v, v, v, v] for v in (27, 28)})
+    assert got == want == graphs.keep_one(graphs.CHAIN, 2, 5)
 
 
 @pytest.mark.parametrize("seed, m, k", [(1, 60, 2), (2, 90, 4), (3, 45, 1), (4, 70, 3), (5, 150, 7)])
@@ -85,13 +94,14 @@ def test_keep_one_random(edges_of, seed, m, k):
 
 
 def test_keep_one_without_important_vertices(edges_of):
-    got = keys(backbone.keep_one(edges_of(graphs.F2), min_out_degree=50))
-    assert got == {v: [v] * 5 for v in range(1, 8)}
+    got = keys(backbone.keep_one(edges_of(graphs.CHAIN), min_out_degree=50))
+    assert got == {v: [v] * 5 for v in range(20, 29)}
 
 
 def test_keep_all_fixture(edges_of, ids_of):
-    got = keys(backbone.keep_all(edges_of(graphs.F2), important=ids_of([1, 5])))
-    assert got == {2: [1, 2, 2, 2, 2], 3: [1, 3, 3, 3, 3], 6: [5, 6, 6, 6, 6], 7: [5, 7, 7, 7, 7]}
+    got = keys(backbone.keep_all(edges_of(graphs.CHAIN), important=ids_of([20, 23])))
+    leaves = {**dict.fromkeys((24, 25, 26), 20), **dict.fromkeys((27, 28), 23)}
+    assert got == {v: [top, v, v, v, v] for v, top in leaves.items()}
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -102,10 +112,9 @@ def test_keep_all_random(edges_of, ids_of, seed):
 
 
 def test_degree_hierarchy_fixture(edges_of):
-    got = keys(labels.degree_hierarchy(edges_of(graphs.F3), levels=4))
-    assert got[5] == [1, 5, 5, 5] and got[7] == [3, 6, 7, 7] and got[8] == [3, 6, 7, 8]
-    assert got[1] == [1] * 4
-    assert keys(labels.degree_hierarchy(edges_of(graphs.F3), levels=3))[8] == [6, 7, 8]
+    got = keys(labels.degree_hierarchy(edges_of(graphs.FALLING), levels=4))
+    assert got[8] == [1, 2, 6, 8] and got[9] == [1, 2, 9, 9] and got[3] == [1, 3, 3, 3] and got[1] == [1] * 4
+    assert keys(labels.degree_hierarchy(edges_of(graphs.FALLING), levels=3))[8] == [2, 6, 8]
 
 
 @pytest.mark.parametrize("levels", [1, 2, 5, 10])
@@ -116,8 +125,9 @@ def test_degree_hierarchy_random(edges_of, levels):
 
 
 def test_seed_labels_fixture(edges_of):
-    got = keys(labels.seed_labels(edges_of(graphs.F2), levels=2, level_size=2))
-    assert got[3] == [1, 3] and all(got[v] == [1, 2] for v in (1, 2, 4, 5, 6, 7))
+    shifted = [(a - 20, b - 20) for a, b in graphs.CHAIN]
+    got = keys(labels.seed_labels(edges_of(shifted), levels=2, level_size=2))
+    assert got == graphs.seed_labels(shifted, 2, 2) and got[8] == [1, 3]
 
 
 def test_seed_labels_random(edges_of):
@@ -127,23 +137,21 @@ def test_seed_labels_random(edges_of):
 
 
 def test_structural_fixture(edges_of, ids_of):
-    h = equivalence.structural(edges_of(graphs.F1), ids_of(range(1, 19)))
+    edges = edges_of(graphs.BLOWN_UP)
+    h = equivalence.structural(edges, ids_of(range(1, 13)))
     got = keys(h)
-    clusters = {v: k[0] for v, k in got.items()}
-    want = {v: v for v in range(1, 19)}
-    want.update({3: 2, 4: 2, 7: 6, 8: 6, 11: 10, 12: 10, 15: 14, 16: 14})
-    assert clusters == want and got[3] == [2, 3, 3, 3]
+    assert {v: k[0] for v, k in got.items()} == {v: c[0] for c in [*graphs.CLASSES, (12,)] for v in c}
+    assert got[4] == [3, 4, 4, 4]
     members = explore.drill_members(h, [])
     sizes = {r["super"]: r["num_nodes"] for r in explore.supernode_sizes(members).collect()}
-    assert {v: n for v, n in sizes.items() if n == 3} == {2: 3, 6: 3, 10: 3, 14: 3}
-    links = explore.super_edges(members, edges_of(graphs.F1))
-    assert {(r["src"], r["dst"]) for r in links.collect()} == {
-        (2, 1), (5, 2), (5, 10), (5, 14), (6, 5), (6, 9), (13, 10), (14, 5), (14, 17), (17, 14),
-    }
-    assert all(r["weight"] == 3 for r in links.collect())
-    assert explore.interior_edges(members, edges_of(graphs.F1)).isEmpty()
+    assert sizes == {1: 2, 3: 3, 6: 1, 7: 3, 10: 2, 12: 1}
+    links = explore.super_edges(members, edges)
+    assert {(r["src"], r["dst"]): r["weight"] for r in links.collect()} == {
+        (1, 3): 6, (3, 6): 3, (6, 7): 3, (6, 10): 2, (7, 6): 3,
+    }
+    assert explore.interior_edges(members, edges).isEmpty()
     degrees = {r["super"]: r["degree"] for r in explore.super_degrees(links).collect()}
-    assert degrees == {1: 1, 9: 1, 13: 1, 2: 2, 6: 2, 10: 2, 17: 2, 14: 4, 5: 5}
+    assert degrees == {1: 1, 3: 2, 6: 4, 7: 2, 10: 1}
 
 
 def test_structural_random(edges_of):
@@ -162,15 +170,15 @@ def test_fingerprint_collisions_are_resolved(edges_of, monkeypatch):
 
     calls = [True, True] + [False] * 100
     monkeypatch.setattr(equivalence.F, "xxhash64", useless_first)
-    got = keys(equivalence.structural(edges_of(graphs.F1)))
+    got = keys(equivalence.structural(edges_of(graphs.BLOWN_UP)))
     monkeypatch.undo()
-    assert {v: k[0] for v, k in got.items()} == graphs.structural(graphs.F1)
+    assert {v: k[0] for v, k in got.items()} == graphs.structural(graphs.BLOWN_UP)
 
 
 @pytest.mark.parametrize("threshold", [2.0, 1.6, 1.0])
-def test_fuzzy_fixture_equals_exact(edges_of, threshold):
-    got = keys(equivalence.structural_fuzzy(edges_of(graphs.F1), threshold=threshold, symmetric=False))
-    assert {v: k[0] for v, k in got.items()} == graphs.structural(graphs.F1)
+def test_fuzzy_fixture(edges_of, threshold):
+    got = keys(equivalence.structural_fuzzy(edges_of(graphs.BLOWN_UP), threshold=threshold, symmetric=False))
+    assert {v: k[0] for v, k in got.items()} == graphs.fuzzy(graphs.BLOWN_UP, threshold, symmetric=False)
 
 
 def _near_copies(seed, vertices=60, groups=4):
