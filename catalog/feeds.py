@@ -231,6 +231,14 @@ def graph_payload(spark, sf):
     return sinks.graph_payload(people, I.follow(spark, sf), I.uses(spark, sf))
 
 
+def graph_payload_predictions(spark, sf):
+    """The payload with scores: here a use's largest value rounded, per user and tag."""
+    people = I.people(spark, sf).select("id", "name")
+    uses = I.uses(spark, sf)
+    scores = uses.groupBy("id", "hashtag").agg(F.ceil(F.max("value")).alias("prediction"))
+    return sinks.graph_payload(people, I.follow(spark, sf), uses, scores)
+
+
 QUERIES = {
     "wire_decode": wire_decode,
     "wire_relations": wire_relations,
@@ -249,8 +257,18 @@ QUERIES = {
     "tracked_tags": tracked_tags,
     "libsvm_source": libsvm_source,
     "graph_payload": graph_payload,
+    "graph_payload_predictions": graph_payload_predictions,
 }
 
+_SQL_PAYLOAD = f"""{I.SQL_FOLLOW}, {I.SQL_USES},
+linked AS (SELECT src AS id FROM follow UNION SELECT dst FROM follow),
+nodes AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT id FROM linked)),
+payload AS (
+  SELECT 'node' AS kind, CAST(json_object('id', id, 'name', name) AS VARCHAR) AS payload FROM nodes
+  UNION ALL SELECT 'use', CAST(json_object('id', id, 'hashtag', hashtag, 'time', time, 'uses', count(*)) AS VARCHAR)
+  FROM uses WHERE id IN (SELECT id FROM nodes) GROUP BY id, hashtag, time
+  UNION ALL SELECT 'link', CAST(json_object('source', src, 'target', dst) AS VARCHAR) FROM follow)"""
+
 ORACLES = {
     "wire_decode": f"WITH {_SQL_TAG_USE_ROWS} SELECT * FROM tag_use_rows",
     "wire_relations": f"""WITH {I.SQL_RELATIONS}
@@ -294,11 +312,10 @@ SELECT page_id AS id, lower(ltrim(href, '/')) AS hashtag FROM page_links
 WHERE lower(ltrim(href, '/')) IN (SELECT hashtag FROM tags WHERE hashtag <> '')""",
     "libsvm_source": """SELECT c_acctbal AS label, CAST(c_nationkey AS BIGINT) AS nation, c_custkey AS custkey
 FROM customer""",
-    "graph_payload": f"""WITH {I.SQL_FOLLOW}, {I.SQL_USES},
-linked AS (SELECT src AS id FROM follow UNION SELECT dst FROM follow),
-nodes AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT id FROM linked))
-SELECT 'node' AS kind, CAST(json_object('id', id, 'name', name) AS VARCHAR) AS payload FROM nodes
-UNION ALL SELECT 'use', CAST(json_object('id', id, 'hashtag', hashtag, 'time', time, 'uses', count(*)) AS VARCHAR)
-FROM uses WHERE id IN (SELECT id FROM nodes) GROUP BY id, hashtag, time
-UNION ALL SELECT 'link', CAST(json_object('source', src, 'target', dst) AS VARCHAR) FROM follow""",
+    "graph_payload": f"""WITH {_SQL_PAYLOAD}
+SELECT * FROM payload""",
+    "graph_payload_predictions": f"""WITH {_SQL_PAYLOAD}
+SELECT * FROM payload
+UNION ALL SELECT 'prediction', CAST(json_object('id', id, 'hashtag', hashtag, 'prediction', CAST(ceil(max(value)) AS BIGINT)) AS VARCHAR)
+FROM uses WHERE id IN (SELECT id FROM nodes) GROUP BY id, hashtag""",
 }

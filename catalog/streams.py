@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
+from strata.operators import graph
 from strata.session import new_path
 from strata.sources import wire
-from strata.sources.streams import table_stream, wire_stream
+from strata.sources.streams import feeds, table_stream, wire_stream
 from strata.streaming import ingest
 
 
@@ -83,7 +84,89 @@ def stream_distinct(spark, sf):
     )
 
 
+def _wire_folder(spark, df, files=3):
+    path = new_path(spark, "feed")
+    wire.encode_wire(df).repartition(files).write.text(path)
+    return path
+
+
+def _three_feeds(spark, sf):
+    """Relations, tag uses and profiles as wire text, streamed into their three stores."""
+    uses = I.uses(spark, sf).select(
+        "screen_name", "hashtag", "time", F.col("seq").alias("quote_count"), *[F.lit(0).alias(c) for c in "abcd"],
+        F.lit(True).alias("retweeted"), F.lit("low").alias("filter_level"), F.lit("line one,\nline: two").alias("text"),
+    )
+    people = I.profiles(spark, sf).select(
+        "screen_name", "followers_count", "friends_count", F.lit(1).alias("listed_count"), F.lit(0).alias("time")
+    )
+    paths = [_wire_folder(spark, df) for df in (I.relations(spark, sf), uses, people)]
+    relations, tag_uses, profiles = feeds(spark, *paths)
+    names = ["screen_name"]
+    pairs = ingest.distinct_store(spark, new_path(spark, "store"), relations.schema)
+    latest = ingest.latest_store(spark, new_path(spark, "store"), profiles.schema, names, ["followers_count"])
+    batches = new_path(spark, "batches")
+    _run(spark, relations, ingest.distinct_sink(pairs))
+    _run(spark, tag_uses, ingest.distinct_batches(batches))
+    _run(spark, profiles, ingest.upsert_sink(latest, names, ["followers_count"]))
+    return pairs.read(), spark.read.parquet(batches), latest.read()
+
+
+def stream_feeds(spark, sf):
+    """One run of all three feeds, read back from their stores."""
+    pairs, uses, people = _three_feeds(spark, sf)
+    shape = ["kind", "name", "other", "number"]
+    return (
+        pairs.select(F.lit("relation"), "user", "follower", F.lit(None).cast("int"))
+        .union(uses.select(F.lit("use"), "screen_name", F.concat_ws("|", "hashtag", "text"), "quote_count"))
+        .union(people.select(F.lit("profile"), "screen_name", F.lit(None), "followers_count"))
+        .toDF(*shape)
+    )
+
+
+def stream_graph(spark, sf):
+    """From the streamed stores to the follow graph: every known user with the degrees."""
+    pairs, _, people = _three_feeds(spark, sf)
+    vertices, edges = graph.follow_graph(pairs, people)
+    return graph.attach_degrees(vertices, edges).select("screen_name", "followers_count", "out_degree", "in_degree")
+
+
+def stream_latest_batches(spark, sf):
+    """The latest use per user of every micro-batch; a batch is one month half here."""
+    rows = I.uses(spark, sf).select("screen_name", "hashtag", "ts", "seq")
+    path = new_path(spark, "feed")
+    half = F.dayofmonth("ts") <= 15
+    for part in (half, ~half):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    out = new_path(spark, "batches")
+    stream = table_stream(spark, path, rows.schema, max_files=1)
+    _run(spark, stream, ingest.latest_batches(out, ["screen_name"], ["ts", "seq"]))
+    return spark.read.parquet(out).select("screen_name", "hashtag", "ts", "seq", half.alias("first_half"))
+
+
+def stream_late_rows(spark, sf):
+    """Daily counts where the first days come last, far behind the watermark of one day.
+
+    A batch's watermark is what the batches before the last one have seen, so the late file
+    is the third.
+    """
+    rows = I.uses(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "screen_name", "hashtag")
+    path = new_path(spark, "feed")
+    day = F.dayofmonth("ts")
+    for part in (day >= 20, day.between(10, 19), day < 10):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = table_stream(spark, path, rows.schema, max_files=1)
+    counts = ingest.stream_daily_counts(stream, watermark="1 day")
+    keys = ["day", "screen_name", "hashtag"]
+    store = ingest.latest_store(spark, new_path(spark, "store"), counts.schema, keys, [])
+    _run(spark, counts, ingest.upsert_sink(store, keys, ["uses"]), mode="update")
+    return store.read().withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 QUERIES = {
+    "stream_feeds": stream_feeds,
+    "stream_graph": stream_graph,
+    "stream_latest_batches": stream_latest_batches,
+    "stream_late_rows": stream_late_rows,
     "stream_relations": stream_relations,
     "stream_latest": stream_latest,
     "stream_batches": stream_batches,
@@ -92,6 +175,19 @@ QUERIES = {
 }
 
 ORACLES = {
+    "stream_feeds": f"""WITH {I.SQL_RELATIONS}, {I.SQL_USES}, {I.SQL_PROFILES}
+SELECT DISTINCT 'relation' AS kind, "user" AS name, follower AS other, CAST(NULL AS INTEGER) AS number FROM relations
+UNION ALL SELECT 'use', screen_name, hashtag || '|line one,' || chr(10) || 'line: two', CAST(seq AS INTEGER) FROM uses
+UNION ALL SELECT 'profile', screen_name, NULL, followers_count FROM profiles""",
+    "stream_graph": f"""WITH {I.SQL_FOLLOW}, {I.SQL_PROFILES}
+SELECT screen_name, followers_count, (SELECT count(*) FROM follow WHERE src = id) AS out_degree,
+  (SELECT count(*) FROM follow WHERE dst = id) AS in_degree FROM profiles""",
+    "stream_latest_batches": f"""WITH {I.SQL_USES}
+SELECT screen_name, hashtag, ts, seq, day(ts) <= 15 AS first_half FROM uses
+QUALIFY row_number() OVER (PARTITION BY screen_name, day(ts) <= 15 ORDER BY ts DESC, seq DESC) = 1""",
+    "stream_late_rows": f"""WITH {I.SQL_USES}
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, screen_name, hashtag, count(*) AS uses FROM uses
+WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2, 3""",
     "stream_relations": f'WITH {I.SQL_RELATIONS} SELECT DISTINCT "user", follower FROM relations',
     "stream_latest": f"""WITH {I.SQL_USES}
 SELECT screen_name, hashtag, ts, seq, value FROM uses

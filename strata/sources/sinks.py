@@ -48,10 +48,13 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
-def graph_payload(vertices: DataFrame, edges: DataFrame, uses: DataFrame) -> DataFrame:
-    """The graph as bounded JSON records: ``node``, ``use`` and ``link``.
+def graph_payload(
+    vertices: DataFrame, edges: DataFrame, uses: DataFrame, predictions: DataFrame | None = None
+) -> DataFrame:
+    """The graph as bounded JSON records: ``node``, ``use``, ``link`` and ``prediction``.
 
-    ``vertices`` has (id, name), ``uses`` (id, hashtag, time). Vertices that no edge
+    ``vertices`` has (id, name), ``uses`` (id, hashtag, time), ``predictions`` (id, hashtag,
+    prediction). Vertices that no edge
     touches are left out, with their uses. A node's tag times are one record each, so
     a node with very many uses never becomes one huge row.
     """
@@ -76,10 +79,23 @@ def graph_payload(vertices: DataFrame, edges: DataFrame, uses: DataFrame) -> Dat
             "payload"
         ),
     )
-    return node_rows.unionByName(use_rows).unionByName(link_rows)
+    payload = node_rows.unionByName(use_rows).unionByName(link_rows)
+    if predictions is None:
+        return payload
+    scored = predictions.select("id", "hashtag", "prediction").join(nodes.select("id"), "id", "left_semi")
+    return payload.unionByName(
+        scored.select(
+            F.lit("prediction").alias("kind"),
+            F.to_json(F.struct("id", "hashtag", "prediction")).alias("payload"),
+        )
+    )
 
 
 def write_graph(
-    vertices: DataFrame, edges: DataFrame, uses: DataFrame, path: str
+    vertices: DataFrame,
+    edges: DataFrame,
+    uses: DataFrame,
+    path: str,
+    predictions: DataFrame | None = None,
 ) -> None:
-    graph_payload(vertices, edges, uses).write.mode("overwrite").partitionBy("kind").text(path)
+    graph_payload(vertices, edges, uses, predictions).write.mode("overwrite").partitionBy("kind").text(path)
