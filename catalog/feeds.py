@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
@@ -162,19 +163,25 @@ def tweet_profiles(spark, sf):
 
 
 def follower_pages(spark, sf):
-    """Follower pages (here of one follower each) to follow edges and profiles."""
+    """Follower pages of up to a dozen users to follow edges and profiles."""
     c = I.table(spark, sf, "customer")
-    pages = I.follow(spark, sf).join(c, F.col("dst") == F.col("c_custkey"))
+    user = F.struct(
+        F.concat(F.lit("u"), F.col("dst").cast("string")).alias("screen_name"),
+        F.col("c_nationkey").alias("followers_count"),
+        F.lit("Wed Oct 10 20:19:24 +0000 2018").alias("created_at"),
+    )
+    ranked = Window.partitionBy("src").orderBy("dst")
+    pages = (
+        I.follow(spark, sf)
+        .join(c, F.col("dst") == F.col("c_custkey"))
+        .withColumn("page", F.floor((F.row_number().over(ranked) - 1) / 12))
+        .groupBy("src", "page")
+        .agg(F.collect_list(user).alias("users"))
+    )
     page = F.struct(
         F.concat(F.lit("u"), F.col("src").cast("string")).alias("author"),
-        F.lit(0).alias("next_cursor"),
-        F.array(
-            F.struct(
-                F.concat(F.lit("u"), F.col("dst").cast("string")).alias("screen_name"),
-                F.col("c_nationkey").alias("followers_count"),
-                F.lit("Wed Oct 10 20:19:24 +0000 2018").alias("created_at"),
-            )
-        ).alias("users"),
+        (F.col("page") + 1).alias("next_cursor"),
+        "users",
     )
     lines = pages.select(F.to_json(page).alias("value"))
     followers = tweets.parse_follower_pages(lines)
@@ -304,7 +311,8 @@ FROM events JOIN customer ON c_custkey = user_id WHERE event_type <> 'error'""",
 SELECT 'u' || src AS "user", 'u' || dst AS follower, c_nationkey AS followers_count,
   CAST(1539202764000 AS BIGINT) AS time FROM follow JOIN customer ON c_custkey = dst""",
     "created_at": "SELECT o_orderkey, epoch_ms(o_orderdate) AS time FROM orders",
-    "escape_text": """SELECT doc_id, md5(replace(replace(text, ':', 'U+003A'), ',', 'U+002C')) AS escaped_md5,
+    "escape_text": """SELECT doc_id,
+  md5(replace(replace(replace(replace(text, ':', 'U+003A'), ',', 'U+002C'), chr(10), 'U+000A'), chr(13), 'U+000D')) AS escaped_md5,
   md5(text) AS restored_md5 FROM documents""",
     "tracked_tags": f"""WITH {I.SQL_PAGE_LINKS}, tags AS (
   SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS hashtag FROM benchmark)

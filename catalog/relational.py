@@ -187,6 +187,14 @@ def tag_features(spark, sf):
     )
 
 
+def without_self_edges(spark, sf):
+    """Customers of neighbouring orders, less those who ordered twice in a row."""
+    orders = I.table(spark, sf, "orders")
+    first = orders.select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("src"))
+    pairs = first.join(orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 10).alias("dst")), "k")
+    return graph.without_self_edges(pairs.select(F.col("src") % 10, "dst").toDF("src", "dst"))
+
+
 def score_features(spark, sf):
     rows = features.score_features(
         I.uses(spark, sf), I.follow(spark, sf), I.profiles(spark, sf), I.SCORE_AS_OF
@@ -309,6 +317,7 @@ QUERIES = {
     "daily_tag_counts": daily_tag_counts,
     "tag_features": tag_features,
     "score_features": score_features,
+    "without_self_edges": without_self_edges,
     "key_level": key_level,
     "key_merge": key_merge,
     "state_update": state_update,
@@ -348,6 +357,8 @@ def _sql_slots(expr: str) -> str:
 
 
 ORACLES = {
+    "without_self_edges": """SELECT a.o_custkey % 10 AS src, b.o_custkey % 10 AS dst FROM orders a
+JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey % 10 <> b.o_custkey % 10""",
     "distinct_edges": f"WITH {I.SQL_FOLLOW} SELECT src, dst FROM follow",
     "latest_per_key": f"""WITH {I.SQL_USES}
 SELECT screen_name, ts, seq, hashtag, value FROM uses

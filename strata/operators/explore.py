@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import save
 from strata.sources.sinks import key_columns
 
 
@@ -181,8 +182,9 @@ def cross_filter(
     """
     others = {c: v for c, v in selections.items() if c != target}
     only = selected(stats, others)
-    if only is not None and only.isEmpty():
-        only = None
+    if only is not None:
+        only = save(only, "selected")  # looked at twice
+        only = None if only.isEmpty() else only
     return histogram(stats[target], target, only)
 
 

@@ -8,11 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Distinct by value (map-side combined, so many copies of one row collapse early)."""
-    return df.distinct()
-
-
 def _best_per_key(
     df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], best
 ) -> DataFrame:

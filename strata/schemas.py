@@ -1,41 +1,10 @@
-"""Explicit schemas of the relations the engine reads and writes.
+"""Explicit schemas of the JSON feeds; nothing is inferred from their lines.
 
-Nothing is inferred: every source is read with one of these, so a text feed, a
-stored table and a stream of the same relation carry the same columns. They are DDL
-texts, which every reader takes and which need no session to be defined.
+They are DDL texts, which every reader takes and which need no session to be defined.
 """
 
 from __future__ import annotations
 
-# src is the followed user, dst the follower.
-RELATION = "user string, follower string"
-
-EDGE = "src bigint, dst bigint, weight int"
-
-# One row per use of a hashtag; time is epoch milliseconds.
-TAG_USE = (
-    "screen_name string, hashtag string, time bigint, quote_count int, reply_count int, "
-    "retweet_count int, favorite_count int, favorited boolean, retweeted boolean, "
-    "filter_level string, text string"
-)
-
-# The eleven fields that travel on the wire.
-PROFILE = (
-    "screen_name string, followers_count int, friends_count int, listed_count int, "
-    "time bigint, favourites_count int, verified boolean, statuses_count int, "
-    "contributors_enabled boolean, default_profile boolean, default_profile_image boolean"
-)
-
-# The wide layout used for model rows. Columns the wire lacks are NULL there.
-PROFILE_WIDE = (
-    "screen_name string, followers_count int, friends_count int, listed_count int, "
-    "time bigint, favourites_count int, time_zone string, geo_enabled boolean, "
-    "verified boolean, statuses_count int, contributors_enabled boolean, "
-    "is_translator boolean, profile_use_background_image boolean, default_profile boolean, "
-    "default_profile_image boolean, following boolean, follow_request_sent boolean, "
-    "notifications boolean, translator_type string"
-)
-
 # The parts of a status object that are read; other members are ignored.
 TWEET_JSON = (
     "timestamp_ms string, text string, quote_count int, reply_count int, retweet_count int, "
@@ -55,9 +24,3 @@ FOLLOWER_PAGE_JSON = (
     "favourites_count: int, verified: boolean, statuses_count: int, "
     "contributors_enabled: boolean, default_profile: boolean, default_profile_image: boolean>>"
 )
-
-
-def hierarchy(levels: int) -> str:
-    """``id``, the key array, and the same key as one column per level for pruning."""
-    cols = ", ".join(f"key_{i} bigint" for i in range(levels))
-    return f"id bigint, key array<bigint>, {cols}"

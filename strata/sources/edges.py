@@ -34,10 +34,6 @@ def tracked_tags(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_tracked_tags(spark: SparkSession, path: str) -> DataFrame:
-    return tracked_tags(spark.read.text(path))
-
-
 def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None) -> DataFrame:
     """Labelled vectors. Naming ``num_features`` saves the pass that would find it."""
     reader = spark.read.format("libsvm")

@@ -18,7 +18,7 @@ LAZY = [
 
 
 # Windows over the names of one hash value, over top-k rows, or with a row limit before them.
-WINDOWED = {"follow_graph", "resolve_edges"}
+WINDOWED = {"follow_graph", "resolve_edges", "follower_pages"}
 
 
 def plan_of(df):
