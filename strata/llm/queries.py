@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +85,64 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+_SQL_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_ESCAPED = (
+    r"regexp_replace({}, '([<\[])(\\*)(" + "|".join(re.escape(c[1:]) for c in chat.CONTROL) + r")', '\1\\\2\3', 'g')"
+)
+
 ORACLES = {
+    "op3_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum({len(chat.TURN + chat.SAYS + chat.END)} + length({_SQL_ESCAPED.format("role")})
+                        + length({_SQL_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
+    "op5_minhash_near_dedup": f"""
+        WITH RECURSIVE worded AS (SELECT doc_id, {_SQL_WORDS.format(_SQL_LOWER)} AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+            FROM worded),
+        flat AS (SELECT doc_id, unnest(s) AS s FROM sets),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM shared JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y
+            WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM sets
+            UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+        least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN least USING (doc_id)
+    """,
+    "op7_substring_dedup": f"""
+        WITH worded AS (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents),
+        starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM worded),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM starts),
+        least AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY 1),
+        gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS g
+            FROM windows JOIN least USING (k) WHERE first < doc_id GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN g IS NULL THEN w
+                   ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(g, i)] END, ' ')) AS kept_sha256
+        FROM worded LEFT JOIN gone USING (doc_id)
+    """,
     "op2_exact_topk": """
         WITH sized AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v
             FROM embeddings
             WHERE len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
             FROM sized q JOIN sized c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
