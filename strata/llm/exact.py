@@ -122,4 +122,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of the stored table ``docs`` that stay, with all their columns."""
     gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__strata_row"))
-    return row_number(docs, "__strata_row").join(gone, "__strata_row", "left_anti").select(*every(docs))
+    return row_number(docs, "__strata_row").join(gone.hint("merge"), "__strata_row", "left_anti").select(*every(docs))

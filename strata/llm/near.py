@@ -266,7 +266,7 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if ids:
             yield flush()
 
-    members = clusters.join(sets, "doc_id").select("cluster", "doc_id", "shingles")
+    members = clusters.join(sets.hint("merge"), "doc_id").select("cluster", "doc_id", "shingles")
     return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "src long, dst long")
 
 
@@ -306,10 +306,10 @@ def links(docs: DataFrame, table: DataFrame, width: int, percent: int, node_limi
     while True:
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"))
         sized = save(sizes.where("members > 1"), "nodes")
-        clusters.append(save(_clusters(level.join(sized.where(F.col("members") <= node_limit), "node", "left_semi")), "clusters"))
+        clusters.append(save(_clusters(level.join(sized.where(F.col("members") <= node_limit).hint("merge"), "node", "left_semi")), "clusters"))
         if sized.where(F.col("members") > node_limit).isEmpty():
             break
-        large = level.join(sized.where(F.col("members") > node_limit), "node", "left_semi")
+        large = level.join(sized.where(F.col("members") > node_limit).hint("merge"), "node", "left_semi")
         star, stay, grid = _pivots(large, node_limit)
         stars.append(star)
         clusters.append(save(_clusters(grid), "blocks"))
@@ -323,12 +323,9 @@ def links(docs: DataFrame, table: DataFrame, width: int, percent: int, node_limi
     wanted = found.select("doc_id")
     for star in stars:
         wanted = wanted.unionByName(star.select("doc_id")).unionByName(star.select(F.col("pivot").alias("doc_id")))
-    sets = save(
-        shingle_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), width).groupBy("doc_id").agg(
-            F.min("shingles").alias("shingles")
-        ),
-        "shingles",
-    )
+    # Joined by shuffle at every size; rows of one doc_id are one document.
+    full = docs.join(wanted.distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = save(shingle_sets(full, width), "shingles")
     out = same.unionByName(_confirmed(found, sets, percent))
     if stars:
         star = stars[0]
@@ -354,7 +351,7 @@ def near_duplicates(
     edges = links(rows, table, width, percent, node_limit)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     labels = components(ends, edges).where("id <> component").select(F.col("id").alias("doc_id"), "component")
-    return table.join(labels, "doc_id", "left").select(
+    return table.join(labels.hint("merge"), "doc_id", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
@@ -365,4 +362,4 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     gone = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__strata_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__strata_gone"], "left_anti").select(*every(docs))
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__strata_gone"], "left_anti").select(*every(docs))
