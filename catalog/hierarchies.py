@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as I
-from strata.operators import components, graph, paths
+from strata.operators import components, graph, paths, skew
 from strata.plans import backbone as B
 from strata.plans import equivalence, labels
 from strata.session import save
@@ -32,6 +32,14 @@ def landmark_hops(spark, sf):
     return paths.landmark_pointers(edges, _leaders(edges))
 
 
+def landmark_hops_salted(spark, sf):
+    """Hops over a graph of hubs, with limits so low that the hubs are split and the edges
+    kept as those of a huge graph are."""
+    edges = save(graph.symmetrize(I.attribute_edges(spark, sf)).distinct(), "hubs")
+    limits = skew.Limits(hot_min_rows=50, keep_rows=100, rows_per_partition=200)
+    return paths.landmark_pointers(edges, _leaders(edges), limits=limits)
+
+
 def landmark_paths(spark, sf):
     edges = _follow(spark, sf)
     return paths.landmark_paths(edges, _leaders(edges)).select(
@@ -118,6 +126,7 @@ def fuzzy_directed(spark, sf):
 
 QUERIES = {
     "landmark_hops": landmark_hops,
+    "landmark_hops_salted": landmark_hops_salted,
     "landmark_paths": landmark_paths,
     "avg_path_length": avg_path_length,
     "connected_components": connected_components,
@@ -229,6 +238,10 @@ SELECT s.id, concat_ws(',', coalesce(cand, s.id), s.id) AS key FROM sizes s LEFT
 
 ORACLES = {
     "landmark_hops": f"""WITH RECURSIVE {I.SQL_FOLLOW}, {_SQL_LEADERS}, {_sql_distances("d", "leaders")}
+SELECT id, landmark, next, hops FROM d_next""",
+    "landmark_hops_salted": f"""WITH RECURSIVE {I.SQL_ATTRIBUTE_EDGES},
+follow AS (SELECT src, dst FROM attribute_edges UNION SELECT dst, src FROM attribute_edges),
+{_SQL_LEADERS}, {_sql_distances("d", "leaders")}
 SELECT id, landmark, next, hops FROM d_next""",
     "landmark_paths": f"""WITH RECURSIVE {I.SQL_FOLLOW}, {_SQL_LEADERS}, {_sql_distances("d", "leaders")},
 walk (id, landmark, hops, path) AS (

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from strata.operators.graph import sample_landmarks
 from strata.operators.iterate import Rounds
-from strata.operators.skew import EdgeIndex
+from strata.operators.skew import LIMITS, EdgeIndex, Limits
 from strata.session import save
 
 
 def landmark_pointers(
-    edges: DataFrame, landmarks: DataFrame, max_hops: int | None = None
+    edges: DataFrame, landmarks: DataFrame, max_hops: int | None = None, limits: Limits = LIMITS
 ) -> DataFrame:
     """(id, landmark, next, hops): the directed distance from each vertex to each landmark
     it can reach, and the least neighbour one hop nearer.
@@ -26,7 +26,7 @@ def landmark_pointers(
         "id", F.col("id").alias("landmark"), F.lit(None).cast("bigint").alias("next")
     )
     rounds = Rounds(start, "landmarks")
-    with EdgeIndex(edges, toward="src") as index:
+    with EdgeIndex(edges, toward="src", limits=limits) as index:
         while True:
             reached = (
                 index.expand(rounds.frontier.select("id", "landmark"))

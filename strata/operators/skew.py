@@ -5,29 +5,38 @@ join key once and kept, so that only the small frontier moves. Adaptive executio
 split a partition that is already laid out, so the hot keys are salted here: their rows
 are spread over several partitions and the frontier's few rows for them are repeated.
 
-The hot-key table is broadcast. It cannot grow with the data: a key is hot only if it
-holds more than a ``1 / MAX_HOT_KEYS`` share of all rows, so there are at most
-``MAX_HOT_KEYS`` of them.
+A key is hot if it holds more than two partitions' worth of rows, so there are fewer hot
+keys than half the partitions, of which there are at most ``max_partitions``; that bounds
+the hot-key table, which is broadcast, to some 50,000 rows whatever the data.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.session import save_counted
 
-MAX_HOT_KEYS = 2_000
-HOT_MIN_ROWS = 1_000_000
-KEEP_PARTITIONED_ROWS = 1_000_000
-ROWS_PER_PARTITION = 4_000_000
-MAX_PARTITIONS = 100_000
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that steer the layout; results never depend on them."""
+
+    hot_min_rows: int = 1_000_000
+    keep_rows: int = 1_000_000
+    rows_per_partition: int = 4_000_000
+    max_partitions: int = 100_000
+
+
+LIMITS = Limits()
 
 
-def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame | None:
-    """(key, splits) of the keys whose groups must be split, None if there are none."""
-    threshold = max(HOT_MIN_ROWS, rows // MAX_HOT_KEYS)
+def hot_keys(df: DataFrame, key: str, rows: int, parts: int, min_rows: int = LIMITS.hot_min_rows) -> DataFrame | None:
+    """(key, splits) of the keys that fill more than two of ``parts`` partitions, None if
+    there are none."""
+    threshold = max(min_rows, 2 * rows // parts)
     if rows <= threshold:
         return None
     hot = (
@@ -48,8 +57,8 @@ def spread(df: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
 
 
 def replicate(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Repeat rows of a hot key once per salt; all splits together are at most
-    ``2 * MAX_HOT_KEYS``."""
+    """Repeat rows of a hot key once per salt; all splits together are at most as many as
+    there are partitions."""
     salts = F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))
     return df.join(F.broadcast(hot), key, "left").withColumn("salt", salts).drop("splits")
 
@@ -61,18 +70,18 @@ class EdgeIndex:
     backwards: a frontier row at ``dst`` reaches ``src``.
     """
 
-    def __init__(self, edges: DataFrame, toward: str):
+    def __init__(self, edges: DataFrame, toward: str, limits: Limits = LIMITS):
         at = {"src": "dst", "dst": "src"}[toward]
         table = edges.select(F.col(at).alias("id"), F.col(toward).alias("nbr"))
         rows = table.count()  # from the file footers
-        self.hot = hot_keys(table, "id", rows)
+        conf = table.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        parts = min(max(int(conf), rows // limits.rows_per_partition), limits.max_partitions)
+        self.hot = hot_keys(table, "id", rows, parts, limits.hot_min_rows)
         self._on = ["id"] if self.hot is None else ["id", "salt"]
         if self.hot is not None:
             table = spread(table, "id", "nbr", self.hot)
-        self._kept = rows > KEEP_PARTITIONED_ROWS
+        self._kept = rows > limits.keep_rows
         if self._kept:
-            conf = table.sparkSession.conf.get("spark.sql.shuffle.partitions")
-            parts = min(max(int(conf), rows // ROWS_PER_PARTITION), MAX_PARTITIONS)
             # Sorted too, so that a sort-merge join finds its order and sorts the frontier only.
             table = table.repartition(parts, *self._on).sortWithinPartitions(*self._on)
             table = table.persist(StorageLevel.MEMORY_AND_DISK)

@@ -16,9 +16,10 @@ from strata.session import purge, save, save_counted, shared_dir
 @pytest.fixture
 def small_limits(monkeypatch):
     """Limits so low that fixture graphs have hot keys and are kept partitioned."""
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 8)
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 50)
-    monkeypatch.setattr(skew, "KEEP_PARTITIONED_ROWS", 10)
+    small = skew.Limits(hot_min_rows=8, keep_rows=10, rows_per_partition=4)
+    build = skew.EdgeIndex.__init__
+    monkeypatch.setattr(skew.EdgeIndex, "__init__", lambda self, edges, toward, limits=None: build(self, edges, toward, small))
+    return small
 
 
 def test_save_counts_rows(spark):
@@ -39,7 +40,7 @@ def test_iterate_stops_and_raises(spark):
 
 def test_hot_keys_are_few_and_split(spark, small_limits):
     rows = spark.createDataFrame([(0, i) for i in range(90)] + [(i, i) for i in range(1, 11)], "id int, nbr int")
-    hot = skew.hot_keys(rows, "id", 100)
+    hot = skew.hot_keys(rows, "id", 100, 25, 8)
     assert [(r["id"], r["splits"]) for r in hot.collect()] == [(0, 12)]
     salted = skew.spread(rows, "id", "nbr", hot)
     assert salted.where("id = 0").select("salt").distinct().count() > 5
@@ -47,7 +48,8 @@ def test_hot_keys_are_few_and_split(spark, small_limits):
     once = spark.createDataFrame([(0,), (3,)], "id int")
     copies = {r["id"]: r["count"] for r in skew.replicate(once, "id", hot).groupBy("id").count().collect()}
     assert copies == {0: 12, 3: 1}
-    assert skew.hot_keys(rows, "id", 5) is None
+    assert skew.hot_keys(rows, "id", 100, 2, 8) is None
+    assert skew.hot_keys(rows, "id", 5, 25, 8) is None
 
 
 def test_kept_edges_are_not_shuffled_again(edges_of, spark, small_limits):
