@@ -260,6 +260,24 @@ SELECT id, component FROM cc""",
     "geo_components": f"""WITH RECURSIVE {I.SQL_GEO_EDGES},
 ids AS (SELECT src AS id FROM geo_edges UNION SELECT dst FROM geo_edges), {_sql_components("ids", "geo_edges")}
 SELECT id, component FROM cc""",
+    # Kruskal edge by edge; the labels of all points are one list.
+    "spanning_forest": f"""WITH RECURSIVE {I.SQL_RAW_FOLLOW},
+one_way AS (
+  SELECT least(src, dst) AS a, greatest(src, dst) AS b, min((weight, src)) AS best FROM raw_follow GROUP BY 1, 2),
+points AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM (SELECT a AS id FROM one_way UNION SELECT b FROM one_way)),
+ranked AS (
+  SELECT row_number() OVER (ORDER BY best[1], a, b) AS i, pa.p AS pa, pb.p AS pb, best[2] AS src,
+    CASE WHEN best[2] = a THEN b ELSE a END AS dst, best[1] AS weight
+  FROM one_way JOIN points pa ON pa.id = a JOIN points pb ON pb.id = b),
+lists AS (SELECT list(pa ORDER BY i) AS pa, list(pb ORDER BY i) AS pb, count(*) AS n FROM ranked),
+kruskal (one, i, label, chosen) USING KEY (one) AS (
+  SELECT 1, CAST(0 AS BIGINT), (SELECT list(p ORDER BY p) FROM points), CAST([] AS BIGINT[])
+  UNION
+  SELECT 1, i + 1,
+    CASE WHEN x = y THEN label ELSE [CASE WHEN l = y THEN x ELSE l END for l in label] END,
+    CASE WHEN x = y THEN chosen ELSE list_append(chosen, i + 1) END
+  FROM (SELECT i, label, chosen, label[pa[i + 1]] AS x, label[pb[i + 1]] AS y FROM kruskal, lists WHERE i < n))
+SELECT src, dst, weight FROM ranked WHERE i IN (SELECT unnest(chosen) FROM kruskal)""",
     # Kruskal by weight class: a class adds as many edges as it removes components.
     "spanning_forest_weight": f"""WITH RECURSIVE {I.SQL_RAW_FOLLOW},
 ids AS (SELECT src AS id FROM raw_follow UNION SELECT dst FROM raw_follow),
