@@ -70,6 +70,27 @@ class Network:
                 places.append(total.argmax(axis=1))
         return np.concatenate(best, axis=1), places
 
+    def _pairs(self) -> list[list[np.ndarray]]:
+        """Per width, the tables of neighbouring bytes two by two: (65536, FILTERS) each."""
+        return [
+            [(t[k][:, None] + t[k + 1][None, :]).reshape(1 << 16, FILTERS) for k in range(0, width - 1, 2)]
+            for width, t in zip(WIDTHS, self.filters)
+        ]
+
+    def pooled_by_pairs(self, rows: np.ndarray, pairs: list[list[np.ndarray]]) -> np.ndarray:
+        """What :meth:`pooled` gives, with about half the look-ups."""
+        two = rows[:, :-1].astype(np.uint16) << 8 | rows[:, 1:]
+        best = []
+        for width, tables, own in zip(WIDTHS, self.filters, pairs):
+            n = WINDOW - width + 1
+            total = own[0].take(two[:, :n], axis=0, mode="clip")
+            for k, table in enumerate(own[1:], 1):
+                total += table.take(two[:, 2 * k : 2 * k + n], axis=0, mode="clip")
+            if width % 2:
+                total += tables[-1].take(rows[:, width - 1 : width - 1 + n], axis=0, mode="clip")
+            best.append(total.max(axis=1))
+        return np.concatenate(best, axis=1)
+
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
         scores = np.maximum(pooled, 0) @ self.dense[:-1] + self.dense[-1]
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -108,6 +129,7 @@ class Network:
 
     def classify(self, texts: list[bytes]) -> Iterator[tuple[str, float]]:
         """(language, score) of every whole text."""
+        pairs = self._pairs()
         totals, sums = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         held: list[tuple[int, np.ndarray]] = []
 
@@ -115,18 +137,18 @@ class Network:
             rows = np.concatenate([r for _, r in held])
             owner = np.repeat([i for i, _ in held], [len(r) for _, r in held])
             weight = _LETTERS[rows].sum(axis=1) - (rows == 0).sum(axis=1) * _LETTERS[0] + 1e-3
-            np.add.at(totals, owner, self.probabilities(self.pooled(rows)[0]) * weight[:, None])
+            np.add.at(totals, owner, self.probabilities(self.pooled_by_pairs(rows, pairs)) * weight[:, None])
             np.add.at(sums, owner, weight)
             held.clear()
 
         size = 0
         for i, text in enumerate(texts):
             rows = windows(text.lower())
-            for at in range(0, len(rows), _BATCH * 4):
-                part = rows[at : at + _BATCH * 4]
+            for at in range(0, len(rows), _BATCH):
+                part = rows[at : at + _BATCH]
                 held.append((i, part))
                 size += len(part)
-                if size >= _BATCH * 4:
+                if size >= _BATCH:
                     flush()
                     size = 0
         if held:
