@@ -140,12 +140,10 @@ def _children(node: Column, threshold: float) -> Column:
 
 
 def _branch(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, doc_id, sketch): every member once in each of its node's children."""
+    """(node, doc_id): every member once in each of its node's children."""
     return members.select(
         "node", "doc_id", "sketch", F.explode(_children(F.col("node"), threshold)).alias("at")
-    ).select(
-        F.xxhash64("node", "at", F.expr("substring(sketch, cast(at as int) + 1, 1)")).alias("node"), "doc_id", "sketch"
-    )
+    ).select(F.xxhash64("node", "at", F.expr("substring(sketch, cast(at as int) + 1, 1)")).alias("node"), "doc_id")
 
 
 def _pivots(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -236,15 +234,27 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(src, dst): links between members of a cluster that connect what they can."""
 
     def links(ids: list[int], found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """By size, each against all smaller ones within reach that it is not connected to;
+        one pass over their shingles counts all intersections."""
         order = sorted(range(len(ids)), key=lambda i: (len(found[i]), ids[i]))
         sizes = np.array([len(found[i]) for i in order])
+        known, local = np.unique(np.concatenate([found[i] for i in order]), return_inverse=True)
+        ends = np.cumsum(sizes)
+        begins, marked = ends - sizes, np.zeros(len(known), np.uint8)
         label = np.arange(len(ids))
-        for k, i in enumerate(order):
+        for k in range(1, len(ids)):
             first = int(np.searchsorted(100 * sizes, percent * sizes[k]))
-            for j in np.flatnonzero(label[first:k] != label[k])[::-1] + first:
-                if label[j] != label[k] and _linked(found[i], found[order[j]], percent):
+            if (label[first:k] == label[k]).all():
+                continue
+            own = local[begins[k] : ends[k]]
+            marked[own] = 1
+            near = marked[local[begins[first] : begins[k]]]
+            both = np.add.reduceat(near, begins[first:k] - begins[first], dtype=np.int64)
+            marked[own] = 0
+            for j in np.flatnonzero(100 * both >= percent * (sizes[first:k] + sizes[k] - both))[::-1] + first:
+                if label[j] != label[k]:
                     label[label == label[k]] = label[j]
-                    yield ids[order[j]], ids[i]
+                    yield ids[order[j]], ids[order[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, found = None, [], []
@@ -301,16 +311,18 @@ def links(docs: DataFrame, table: DataFrame, width: int, percent: int, node_limi
         .where("doc_id <> least")
         .select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
     )
-    level = groups.select(F.explode("nodes").alias("node"), F.col("least").alias("doc_id"), "sketch")
+    sketches = groups.select(F.col("least").alias("doc_id"), "sketch")
+    level = groups.select(F.explode("nodes").alias("node"), F.col("least").alias("doc_id"))
     clusters, stars = [], []
     while True:
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"))
-        sized = save(sizes.where("members > 1"), "nodes")
-        clusters.append(save(_clusters(level.join(sized.where(F.col("members") <= node_limit).hint("merge"), "node", "left_semi")), "clusters"))
-        if sized.where(F.col("members") > node_limit).isEmpty():
+        # Most nodes hold one document; only members of the others get their sketches.
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        members = save(level.join(sizes.hint("merge"), "node"), "members")
+        sketched = members.join(sketches.hint("merge"), "doc_id").select("node", "doc_id", "sketch", "members")
+        clusters.append(save(_clusters(sketched.where(F.col("members") <= node_limit)), "clusters"))
+        if members.where(F.col("members") > node_limit).isEmpty():
             break
-        large = level.join(sized.where(F.col("members") > node_limit).hint("merge"), "node", "left_semi")
-        star, stay, grid = _pivots(large, node_limit)
+        star, stay, grid = _pivots(sketched.where(F.col("members") > node_limit).drop("members"), node_limit)
         stars.append(star)
         clusters.append(save(_clusters(grid), "blocks"))
         level, left = save_counted(_branch(stay, threshold), "level")

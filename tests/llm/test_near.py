@@ -63,7 +63,7 @@ def test_a_large_group_of_near_copies(spark):
     rows = corpus(8, 1, 2, 400, 1)[:1]
     draw = random.Random(2)
     base = [f"w{draw.randrange(500)}" for _ in range(300)]
-    for i in range(1, 200):
+    for i in range(1, 120):
         text = list(base)
         for _ in range(i % 5):
             text[draw.randrange(300)] = f"z{i}"
