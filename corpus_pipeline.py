@@ -11,32 +11,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import exact, langid, mixing, near, packing
-from strata.llm.tables import read
+from strata.llm.tables import read, small_batches
 from strata.session import save
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, no letter) or with an unsure one go."""
+    small_batches(spark)
     return langid.identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts stays."""
+    small_batches(spark)
     return exact.without_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates stays."""
+    small_batches(spark)
     return near.without_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight: a document comes as often as the mix takes it."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents and their places in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

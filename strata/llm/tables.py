@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,12 +26,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of fewer rows than Spark's 10,000: an executor holds
+    each task's batch several times, off its heap and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about BATCH_BYTES each, whatever the rows' sizes."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
