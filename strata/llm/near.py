@@ -40,9 +40,6 @@ from strata.session import save, save_counted
 
 WORDS, PERCENT = 5, 85
 COORDINATES, TREES, NODE_LIMIT = 128, 10, 2048
-# A sketch of 128 tokens is off by 3.2 points (one standard deviation) at the threshold.
-# NEARBY is twice the distance at the threshold, and as much for the sketches' error.
-SURE, POSSIBLE, NEARBY = 0.92, 0.68, 0.55
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, COORDINATES), dtype=np.uint64).astype(np.uint32)
 _FACTORS, _OFFSETS = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 _ROWS = 2048
@@ -84,6 +81,22 @@ def roots(trees: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(x, np.int64) for x in zip(*chosen))
 
 
+def bounds(percent: int) -> tuple[float, float, float]:
+    """(sure, possible, nearby): similarities of sketches at a threshold, to two digits.
+
+    A sketch of 128 tokens is off by 3.2 points (one standard deviation) at 85 percent. Sure
+    is 2.2 deviations above the threshold and possible 5.4 below it; nearby is twice the
+    distance at the threshold, and 3.7 deviations for the sketches' error there.
+    """
+
+    def off(x: float) -> float:
+        return (x * (1 - x) / COORDINATES) ** 0.5
+
+    threshold = percent / 100
+    twice = max(0.0, 2 * threshold - 1)
+    return tuple(round(x, 2) for x in (threshold + 2.2 * off(threshold), threshold - 5.4 * off(threshold), twice - 3.7 * off(twice)))
+
+
 def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of sketches, corrected for bytes equal by chance."""
     equal = (others == one).mean(axis=-1)
@@ -146,8 +159,9 @@ def _branch(members: DataFrame, threshold: float) -> DataFrame:
     ).select(F.xxhash64("node", "at", F.expr("substring(sketch, cast(at as int) + 1, 1)")).alias("node"), "doc_id")
 
 
-def _pivots(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _pivots(large: DataFrame, limit: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links to pivots, members that stay, blocks of those that left and those near them)."""
+    sure, _, nearby = bounds(percent)
     drawn = F.xxhash64("node", "doc_id")
     chosen = large.groupBy("node").agg(
         F.min_by(F.struct(F.col("doc_id").alias("pivot"), F.col("sketch").alias("model")), F.struct(drawn, "doc_id")).alias("p")
@@ -172,10 +186,10 @@ def _pivots(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFra
         .mapInArrow(compare, "node long, doc_id long, pivot long, sketch binary, alike double"),
         "pivots",
     )
-    links = seen.where((F.col("alike") >= SURE) & (F.col("doc_id") != F.col("pivot")))
-    stay = seen.where((F.col("alike") < SURE) | (F.col("doc_id") == F.col("pivot")))
+    links = seen.where((F.col("alike") >= sure) & (F.col("doc_id") != F.col("pivot")))
+    stay = seen.where((F.col("alike") < sure) | (F.col("doc_id") == F.col("pivot")))
     parts = seen.where("doc_id <> pivot").select(
-        "node", "doc_id", "sketch", (F.col("alike") >= SURE).alias("left"), (F.col("alike") >= NEARBY).alias("nearby")
+        "node", "doc_id", "sketch", (F.col("alike") >= sure).alias("left"), (F.col("alike") >= nearby).alias("nearby")
     ).where("nearby")
     blocks = parts.groupBy("node").agg(
         F.ceil(F.count_if("left") / limit).alias("rows"), F.ceil(F.count_if(~F.col("left")) / limit).alias("columns")
@@ -190,15 +204,16 @@ def _pivots(large: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFra
     return links.select("doc_id", "pivot").distinct(), stay.select("node", "doc_id", "sketch"), grid
 
 
-def _clusters(small: DataFrame) -> DataFrame:
+def _clusters(small: DataFrame, percent: int) -> DataFrame:
     """(cluster, doc_id): the groups of similar sketches within small nodes, each group once."""
+    _, possible, _ = bounds(percent)
 
     def groups(batch: pa.RecordBatch) -> Iterator[list[int]]:
         for ids, raw in zip(batch.column("ids").to_pylist(), batch.column("sketches").to_pylist()):
             sketches = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COORDINATES)
             label = np.arange(len(ids))
             for i in range(1, len(ids)):
-                close = np.flatnonzero(similarity(sketches[i], sketches[:i]) >= POSSIBLE)
+                close = np.flatnonzero(similarity(sketches[i], sketches[:i]) >= possible)
                 if len(close):
                     label[np.isin(label, np.append(label[close], i))] = label[close].min()
             for value in np.unique(label):
@@ -319,12 +334,12 @@ def links(docs: DataFrame, table: DataFrame, width: int, percent: int, node_limi
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         members = save(level.join(sizes.hint("merge"), "node"), "members")
         sketched = members.join(sketches.hint("merge"), "doc_id").select("node", "doc_id", "sketch", "members")
-        clusters.append(save(_clusters(sketched.where(F.col("members") <= node_limit)), "clusters"))
+        clusters.append(save(_clusters(sketched.where(F.col("members") <= node_limit), percent), "clusters"))
         if members.where(F.col("members") > node_limit).isEmpty():
             break
-        star, stay, grid = _pivots(sketched.where(F.col("members") > node_limit).drop("members"), node_limit)
+        star, stay, grid = _pivots(sketched.where(F.col("members") > node_limit).drop("members"), node_limit, percent)
         stars.append(star)
-        clusters.append(save(_clusters(grid), "blocks"))
+        clusters.append(save(_clusters(grid, percent), "blocks"))
         level, left = save_counted(_branch(stay, threshold), "level")
         if not left:
             break
