@@ -82,8 +82,8 @@ def verified_size(docs: DataFrame, size: int = 16) -> int:
     return size
 
 
-def recipes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row, recipe, n_chars, text_sha256), one row per row of ``docs``."""
+def recipes(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, row, recipe, n_chars, text_sha256), one row per row of ``rows`` (doc_id, text, row)."""
 
     def cook(batch: pa.RecordBatch) -> dict:
         bare = [t.translate(None, SPACE) for t in texts_of(batch)]
@@ -95,18 +95,13 @@ def recipes(docs: DataFrame, size: int) -> DataFrame:
             "text_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in bare], pa.string()),
         }
 
-    rows = row_number(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
     schema = "doc_id long, row long, recipe binary, n_chars long, text_sha256 string"
     return map_batches(rows, "text", schema, cook)
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, row), one row per row of ``docs``.
-
-    Of equal texts the row with the most code points, then least ``doc_id``, stays. ``row``
-    numbers the rows of the stored table ``docs`` (see :func:`tables.row_number`).
-    """
-    cooked = save(recipes(docs, verified_size(docs)), "recipes")
+def _marked(rows: DataFrame) -> DataFrame:
+    """:func:`exact_duplicates` of rows (doc_id, text, row); ``row`` tells them apart."""
+    cooked = save(recipes(rows, verified_size(rows)), "recipes")
     best = F.struct("n_chars", F.bitwise_not("doc_id").alias("back"), F.bitwise_not("row").alias("row"))
     groups = cooked.groupBy("recipe").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return cooked.join(groups, "recipe").select(
@@ -119,7 +114,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, row), one row per row of ``docs``.
+
+    Of equal texts the row with the most code points, then least ``doc_id``, stays. ``row``
+    tells the rows of this result apart and means nothing in another read of ``docs``.
+    """
+    return _marked(row_number(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row"))
+
+
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of the stored table ``docs`` that stay, with all their columns."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__strata_row"))
-    return row_number(docs, "__strata_row").join(gone.hint("merge"), "__strata_row", "left_anti").select(*every(docs))
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The rows are numbered once and stored: a second read may be split in another way.
+    """
+    numbered = save(row_number(docs, "__strata_row"), "numbered")
+    rows = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__strata_row").alias("row"))
+    gone = _marked(rows).where(~F.col("kept")).select(F.col("row").alias("__strata_row"))
+    return numbered.join(gone.hint("merge"), "__strata_row", "left_anti").select(*every(docs))

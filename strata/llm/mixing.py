@@ -14,7 +14,8 @@ is split on the driver, its branches in tasks. Within a shard documents are in r
 
 Weights are 1, 2, 3 and again, over the sources in code point order, null last. Targets
 share the total size by weight, but stop at ``most`` times a source's size; what is above
-is shared anew. ``docs`` is a stored table (its rows are numbered twice).
+is shared anew. Rows are numbered once, and :func:`mix` stores them with their numbers: a
+second read of ``docs`` may be split in another way.
 
 Defined results: null and blank texts have size 0 and nothing is taken; repeated rows and
 rows without ``doc_id`` count each; an empty table gives an empty result; other columns are
@@ -118,13 +119,15 @@ def plan(docs: DataFrame, shard_words: int = SHARD_WORDS, seed: int = SEED, weig
 
     ``takes`` lists what the mix takes of it: (pass, shard, position, words).
     """
-    spark = docs.sparkSession
-    sized = save(
-        row_number(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "row").select(
-            "row", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-        ),
-        "sized",
-    )
+    rows = row_number(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "row")
+    return _planned(rows, shard_words, seed, weights)
+
+
+def _planned(rows: DataFrame, shard_words: int = SHARD_WORDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """:func:`plan` of rows (row, doc_id, source, text); ``row`` tells them apart."""
+    spark = rows.sparkSession
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = save(rows.select("row", "doc_id", "source", size), "sized")
     sources = _sources(sized)
     if not sources:
         return sized.select(
@@ -192,8 +195,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     A document that is cut keeps its first words, joined by one space, and its new length.
     """
-    planned = plan(docs, **how).where(F.size("takes") > 0).select(F.col("row").alias("__strata_row"), "size", "takes")
-    numbered = row_number(docs.select(F.struct(*every(docs)).alias("__strata_doc")), "__strata_row")
+    numbered = save(row_number(docs.select(F.struct(*every(docs)).alias("__strata_doc")), "__strata_row"), "numbered")
+    told = numbered.select(
+        F.col("__strata_row").alias("row"),
+        F.col("__strata_doc.doc_id").cast("long").alias("doc_id"),
+        F.col("__strata_doc.source").alias("source"),
+        F.col("__strata_doc.text").alias("text"),
+    )
+    planned = _planned(told, **how).where(F.size("takes") > 0).select(F.col("row").alias("__strata_row"), "size", "takes")
     rows = numbered.join(planned, "__strata_row").select("__strata_doc", "size", F.explode("takes").alias("take"))
     whole = F.col("take.words") == F.col("size")
     words = F.regexp_extract_all(F.col("__strata_doc.text"), F.lit(WORD), F.lit(0))

@@ -17,8 +17,8 @@ is an inner node of it. Only the depth that counts is built: a suffix is followe
    maximal repeat.
 
 Windows are told apart by 56 bits of hash within their subtree (a false match of a window
-has a chance of about 10^-11). ``docs`` is a stored table: it is read several times and
-has to come in the same slices.
+has a chance of about 10^-11). ``docs`` is read several times, in any slices: what a slice
+sends and what it reports by itself come from one pass over it.
 
 Defined results: null text has no words; documents of equal ``doc_id`` do not cover each
 other; a row without ``doc_id`` counts as the last of all; an empty table gives an empty
@@ -28,10 +28,12 @@ result; other columns, whatever their names, take no part.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,24 +140,6 @@ def _nodes(texts: list[bytes], ids: list[int], width: int) -> tuple:
     return paths, docs, first, words, order
 
 
-def _leaves(docs: DataFrame, counts: np.ndarray, width: int, limit: int) -> DataFrame:
-    """(subtree, blob): of every slice and node, the least document."""
-
-    def send(batch: pa.RecordBatch) -> dict | None:
-        paths, ids, first, words, order = _nodes(texts_of(batch), _doc_numbers(batch), width)
-        if not len(first):
-            return None
-        buckets = np.concatenate([_buckets(w, width) for w in words], axis=1)[:, order[first]]
-        least, paths = np.minimum.reduceat(ids, first), paths[first]
-        subtrees, rank = np.unique(_subtree_of(buckets, paths, counts, limit), return_inverse=True)
-        by = np.argsort(rank.astype(np.uint16 if len(subtrees) <= 1 << 16 else np.int64), kind="stable")
-        cuts = np.searchsorted(rank[by], np.arange(len(subtrees) + 1))
-        blobs = [pack(paths[by[a:b]], least[by[a:b]], True) for a, b in zip(cuts, cuts[1:])]
-        return {"subtree": pa.array(subtrees, pa.int64()), "blob": pa.array(blobs, pa.binary())}
-
-    return map_batches(docs, "text", "subtree long, blob binary", send)
-
-
 def _by_part(docs: np.ndarray, paths: np.ndarray, parts: int) -> pa.RecordBatch:
     """(part, blob) of covered windows."""
     part = (mix(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -167,25 +151,36 @@ def _by_part(docs: np.ndarray, paths: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def _covered_in_slices(docs: DataFrame, width: int, parts: int) -> DataFrame:
-    """(part, blob): windows whose node has a lesser document in the same slice."""
+def _leaves(docs: DataFrame, counts: np.ndarray, width: int, limit: int, parts: int) -> DataFrame:
+    """(subtree, part, blob): of every slice and node, the least document; with ``part``, the
+    windows whose node has a lesser document in the same slice."""
 
-    def find(batch: pa.RecordBatch) -> dict | None:
-        paths, ids, first, _, _ = _nodes(texts_of(batch), _doc_numbers(batch), width)
+    def send(batch: pa.RecordBatch) -> dict | None:
+        paths, ids, first, words, order = _nodes(texts_of(batch), _doc_numbers(batch), width)
         if not len(first):
             return None
-        least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(paths))))
-        over = ids > least
-        if not over.any():
-            return None
-        out = _by_part(ids[over], paths[over], parts)
-        return {"part": out.column("part"), "blob": out.column("blob")}
+        least = np.minimum.reduceat(ids, first)
+        over = ids > np.repeat(least, np.diff(np.append(first, len(paths))))
+        own = _by_part(ids[over], paths[over], parts) if over.any() else None
+        buckets = np.concatenate([_buckets(w, width) for w in words], axis=1)[:, order[first]]
+        paths = paths[first]
+        subtrees, rank = np.unique(_subtree_of(buckets, paths, counts, limit), return_inverse=True)
+        by = np.argsort(rank.astype(np.uint16 if len(subtrees) <= 1 << 16 else np.int64), kind="stable")
+        cuts = np.searchsorted(rank[by], np.arange(len(subtrees) + 1))
+        blobs = [pack(paths[by[a:b]], least[by[a:b]], True) for a, b in zip(cuts, cuts[1:])]
+        part = [None] * len(blobs)
+        if own is not None:
+            # Numbers below zero are no subtrees; they only spread these rows.
+            told = own.column("blob").to_pylist()
+            subtrees = np.append(subtrees, [-1 - zlib.crc32(b) for b in told])
+            part, blobs = part + own.column("part").to_pylist(), blobs + told
+        return {"subtree": pa.array(subtrees, pa.int64()), "part": pa.array(part, pa.int64()), "blob": pa.array(blobs, pa.binary())}
 
-    return map_batches(docs, "text", "part long, blob binary", find)
+    return map_batches(docs, "text", "subtree long, part long, blob binary", send)
 
 
-def _covered_in_subtrees(leaves: DataFrame, parts: int) -> DataFrame:
-    """(part, blob): windows whose node has a lesser document in another slice."""
+def _covered(leaves: DataFrame, parts: int) -> DataFrame:
+    """(part, blob): windows whose node has a lesser document, in the same slice or another."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
@@ -203,6 +198,10 @@ def _covered_in_subtrees(leaves: DataFrame, parts: int) -> DataFrame:
             return int(over.sum())
 
         for batch in batches:
+            told = batch.filter(pc.is_valid(batch.column("part")))
+            if told.num_rows:
+                yield told.select(["part", "blob"])
+            batch = batch.filter(pc.is_null(batch.column("part")))
             for number, blob in zip(batch.column("subtree").to_pylist(), batch.column("blob").to_pylist()):
                 if number != current and blobs:
                     held += subtree()
@@ -239,9 +238,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, subtree: int = SUBTREE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts, size = census(rows, width)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _PART_BYTES))
-    covered = _covered_in_subtrees(_leaves(rows, counts, width, subtree), parts).unionByName(
-        _covered_in_slices(rows, width, parts)
-    )
+    covered = _covered(_leaves(rows, counts, width, subtree, parts), parts)
 
     def part_of(batch: pa.RecordBatch) -> dict:
         numbers = np.array(_doc_numbers(batch), np.int64)

@@ -71,5 +71,6 @@ def map_batches(
 
 
 def row_number(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a stored table; the same table gives the same numbers again."""
+    """Number the rows, within one read: another read may be split, and so numbered, in another
+    way. Who needs a number twice stores it."""
     return df.withColumn(name, F.monotonically_increasing_id())
