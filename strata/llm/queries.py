@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, exact, langid, mixing, near, packing, substrings, tokens, topk, warc
+from strata.llm import chat, exact, langid, mixing, near, packing, sharding, substrings, tokens, topk, trie, warc, whitening
 from strata.llm.tables import read
-from strata.session import new_path
+from strata.session import new_path, save
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,51 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((conv_id, length), (conv_id, depth, digest, chars)): conversations that share the first turns of their hundred's first."""
+    own = save(trie.digested(turns), "turns")
+    sizes = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h")
+    start = (F.col("conv_id") - F.col("conv_id") % 100).alias("base")
+    at_base = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    shared = F.least("h", F.coalesce("n_base", F.lit(0)))
+    told = sizes.select("conv_id", "n", h, start).join(at_base, "base", "left").withColumn("shared", shared)
+    told = save(told, "told")
+    heads = own.where("conv_id % 100 = 0 AND pos <= 5").select(F.col("conv_id").alias("base"), "pos", "digest", "chars")
+    first = told.join(heads, "base").where("pos <= h").select("conv_id", F.col("pos").alias("depth"), "digest", "chars")
+    rest = own.join(told, "conv_id").where("pos > h")
+    rest = rest.select("conv_id", (F.col("pos") - F.col("h") + F.col("shared")).alias("depth"), "digest", "chars")
+    length = F.col("shared") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
+    return told.select("conv_id", length.alias("depth")), first.unionByName(rest)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths, turns = _rebuilt(read(spark, sf_dir, "conversations"))
+    paths = save(trie.prefixes(turns), "prefixes")
+    nodes = trie.with_parent(trie.trie(lengths, paths), "conv_id", "parent_conv_id")
+    ends = lengths.join(paths, ["conv_id", "depth"]).select("node", "conv_id")
+    ends = ends.unionByName(lengths.where("depth = 0").select(F.lit(trie.ROOT).alias("node"), "conv_id"))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(trie.list_digests(ends), "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", nothing).alias("ends_sha256"),
+    )
+
+
+def op12_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", size.alias("size"), crc.alias("text_crc32"))
+    return sharding.shuffle_rows(docs).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_topk": op2_exact_topk,
@@ -83,6 +128,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_uniform_shards": op12_uniform_shards,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _SQL_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -164,6 +212,40 @@ ORACLES = {
         FROM bare
         WINDOW same AS (PARTITION BY body ORDER BY n_chars DESC, doc_id)
     """,
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS ts FROM turns GROUP BY 1),
+        crcs AS (
+            SELECT conv_id, ts, xor(4294967295, list_reduce(
+                [ord(c) for c in string_split(CAST(conv_id AS VARCHAR), '')],
+                lambda crc, b: list_reduce(
+                    list_prepend(xor(crc, b), [0 for k in range(8)]),
+                    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295)) % 6 AS h
+            FROM own),
+        rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), coalesce(c.ts[c.h + 1:], [])) AS ts
+            FROM crcs c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        firsts AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt),
+        nodes AS (
+            SELECT ts[1:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ts) = d), '') AS ends
+            FROM firsts GROUP BY 1, 2),
+        children AS (
+            SELECT p.path, p.d, count(c.d) AS n_children
+            FROM nodes p LEFT JOIN nodes c ON c.d = p.d + 1 AND c.path[1:p.d] = p.path GROUP BY 1, 2),
+        sums AS (
+            SELECT t.path, t.d, count(*) FILTER (k.n_children = 0) AS n_leaves,
+                   sum((n.n_convs - 1) * CASE WHEN n.d = 0 THEN 0 ELSE length(n.path[n.d].t) END) AS saved_tokens
+            FROM nodes t JOIN nodes n ON n.d >= t.d AND n.path[1:t.d] = t.path
+            JOIN children k ON k.d = n.d AND k.path = n.path GROUP BY 1, 2)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, k.n_children, s.n_leaves,
+               CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN children k ON k.d = n.d AND k.path = n.path JOIN sums s ON s.d = n.d AND s.path = n.path
+        LEFT JOIN nodes p ON p.d = n.d - 1 AND n.d > 0 AND p.path = n.path[1:n.d - 1]
+    """,
     "op8_warc": """
         WITH bare AS (
             SELECT page_id, coalesce(html, '') AS body, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
