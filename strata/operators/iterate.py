@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strata.operators.skew import LIMITS, Limits
 from strata.session import new_path, save
 
 
@@ -31,8 +33,8 @@ def iterate(
     raise RuntimeError(f"{name} did not converge within {max_iter} rounds")
 
 
-class Rounds:
-    """The rows settled so far by a breadth-first loop: one folder per round of one table.
+class Stages:
+    """The rows of a loop's rounds: one folder per round of one table.
 
     Reading it back gives all rounds with their number, whatever their count.
     """
@@ -61,6 +63,62 @@ class Rounds:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema)
         return self._spark.read.schema(f"{ddl}, round int").parquet(self._root)
 
-    def without_settled(self, df: DataFrame, keys: list[str]) -> DataFrame:
-        settled = self.all().select(*keys)
-        return df.join(settled, keys, "left_anti")
+
+class Rounds(Stages):
+    """The rows settled so far by a breadth-first loop.
+
+    A round asks which of the rows it reached are settled. Beyond ``limits.settled_rows`` rows
+    the settled keys are therefore also kept in a bucketed table, to which every round appends
+    its own files: the rows a round reached are dealt like its buckets by the aggregate that
+    made them, so settled rows stay where they are and only the frontier moves. Up to that
+    many rows, the folders are read as they are. Results never depend on the bound.
+    ``by`` are the columns that settled rows are looked up by, all of ``keys`` if not given.
+    """
+
+    def __init__(
+        self, first: DataFrame, name: str, keys: list[str], by: list[str] | None = None, limits: Limits = LIMITS
+    ):
+        self._keys, self._by, self._limit = keys, by or keys, limits.settled_rows
+        self._index, self._rows = None, 0
+        super().__init__(first, name)
+
+    @property
+    def indexed(self) -> bool:
+        return self._index is not None
+
+    def _write(self, df: DataFrame) -> int:
+        n = super()._write(df)
+        self._rows += n
+        if n and self._index is not None:
+            self._settle(self.frontier)
+        elif n and self._rows > self._limit:
+            self._index = f"strata_{uuid.uuid4().hex}"
+            self._settle(self.all())
+        return n
+
+    def _settle(self, rows: DataFrame) -> None:
+        """Append keys to the bucketed table; its files lie with the other intermediate tables."""
+        # As many buckets as a shuffle has partitions, so an aggregate's output fits them.
+        buckets = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.select(*self._keys).repartition(buckets, *self._by)
+        writer = dealt.write.format("parquet").mode("append").bucketBy(buckets, *self._by).sortBy(*self._by)
+        writer.option("path", f"{self._root}-index").saveAsTable(self._index)
+
+    def settled(self) -> DataFrame:
+        """The keys of all rounds, bucketed by ``by`` once they are many."""
+        return self.all().select(*self._keys) if self._index is None else self._spark.table(self._index)
+
+    def without_settled(self, df: DataFrame) -> DataFrame:
+        return df.join(self.settled(), self._keys, "left_anti")
+
+    def close(self) -> None:
+        """Forget the bucketed table; the rounds stay readable."""
+        if self._index is not None:
+            self._spark.sql(f"DROP TABLE IF EXISTS {self._index}")
+            self._index = None
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.graph import sample_landmarks
-from strata.operators.iterate import Rounds
+from strata.operators.iterate import Rounds, Stages
 from strata.operators.skew import LIMITS, EdgeIndex, Limits
 from strata.session import save
 
@@ -25,15 +25,14 @@ def landmark_pointers(
     start = landmarks.select(
         "id", F.col("id").alias("landmark"), F.lit(None).cast("bigint").alias("next")
     )
-    rounds = Rounds(start, "landmarks")
-    with EdgeIndex(edges, toward="src", limits=limits) as index:
+    with EdgeIndex(edges, toward="src", limits=limits) as index, Rounds(start, "landmarks", ["id", "landmark"], limits=limits) as rounds:
         while True:
             reached = (
                 index.expand(rounds.frontier.select("id", "landmark"))
                 .groupBy(F.col("nbr").alias("id"), "landmark")
                 .agg(F.min(F.col("id")).alias("next"))
             )
-            if not rounds.add(rounds.without_settled(reached, ["id", "landmark"])):
+            if not rounds.add(rounds.without_settled(reached)):
                 break
             _check_hops(rounds, max_hops)
     return rounds.all().withColumnRenamed("round", "hops")
@@ -58,14 +57,14 @@ def expand_paths(pointers: DataFrame, pairs: DataFrame) -> DataFrame:
         return left.unionByName(last).select("src", "landmark", "at", "node", "hops")
 
     first = pairs.where("hops > 0").select("src", "landmark", F.col("src").alias("at"), "hops")
-    rounds = Rounds(advance(first), "paths")
+    stored = Stages(advance(first), "paths")
     while True:
-        ahead = rounds.frontier.where("hops > 1").select(
+        ahead = stored.frontier.where("hops > 1").select(
             "src", "landmark", F.col("node").alias("at"), (F.col("hops") - 1).alias("hops")
         )
-        if not rounds.add(advance(ahead)):
+        if not stored.add(advance(ahead)):
             break
-    return rounds.all().select("src", "landmark", F.col("round").alias("pos"), "at", "node")
+    return stored.all().select("src", "landmark", F.col("round").alias("pos"), "at", "node")
 
 
 def landmark_paths(
@@ -80,8 +79,7 @@ def landmark_paths(
     start = landmarks.select(
         "id", F.col("id").alias("landmark"), F.array().cast("array<bigint>").alias("path")
     )
-    rounds = Rounds(start, "paths")
-    with EdgeIndex(edges, toward="src") as index:
+    with EdgeIndex(edges, toward="src") as index, Rounds(start, "paths", ["id", "landmark"]) as rounds:
         while True:
             longer = F.concat(F.array(F.col("id")), F.col("path"))
             reached = (
@@ -90,7 +88,7 @@ def landmark_paths(
                 .groupBy(F.col("to").alias("id"), "landmark")
                 .agg(F.min("path").alias("path"))
             )
-            if not rounds.add(rounds.without_settled(reached, ["id", "landmark"])):
+            if not rounds.add(rounds.without_settled(reached)):
                 break
             _check_hops(rounds, max_hops)
     return rounds.all().select("id", "landmark", F.col("round").alias("hops"), "path")

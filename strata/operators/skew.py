@@ -28,6 +28,7 @@ class Limits:
     keep_rows: int = 1_000_000
     rows_per_partition: int = 4_000_000
     max_partitions: int = 100_000
+    settled_rows: int = 1_000_000
 
 
 LIMITS = Limits()

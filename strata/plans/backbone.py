@@ -11,7 +11,7 @@ from strata.operators import graph, paths
 from strata.operators.components import chosen_ranks, contract, labels
 from strata.operators.explore import with_key_columns
 from strata.operators.iterate import Rounds
-from strata.operators.skew import EdgeIndex
+from strata.operators.skew import LIMITS, EdgeIndex, Limits
 from strata.session import save, save_counted
 
 
@@ -31,8 +31,7 @@ def attach(
     start = backbone.select(
         "id", F.lit(0).alias("depth"), _own_key(F.col("id"), levels).alias("key")
     )
-    rounds = Rounds(start, "attach")
-    with EdgeIndex(edges, toward="src") as index:
+    with EdgeIndex(edges, toward="src") as index, Rounds(start, "attach", ["id"]) as rounds:
         while True:
             parent = F.struct("id", "depth", "key")
             reached = (
@@ -44,14 +43,32 @@ def attach(
             own = F.slice(_own_key(F.col("child"), levels), F.lit(1), F.greatest(levels - depth, F.lit(0)))
             key = F.concat(F.slice("p.key", F.lit(1), F.least(depth, F.lit(levels))), own)
             attached = reached.select(F.col("child").alias("id"), depth.alias("depth"), key.alias("key"))
-            if not rounds.add(rounds.without_settled(attached, ["id"])):
+            if not rounds.add(rounds.without_settled(attached)):
                 break
     keys = vertices.select("id").join(rounds.all().select("id", "key"), "id", "left")
     keys = keys.select("id", F.coalesce("key", _own_key(F.col("id"), levels)).alias("key"))
     return with_key_columns(keys, levels)
 
 
-def terminal_forest(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _unvisited(reached: DataFrame, rounds: Rounds, of_landmark: DataFrame) -> DataFrame:
+    """The rows (id, cluster, w) of a wave where no wave of the same cluster has been.
+
+    Clusters merge, so a settled row's cluster is looked up by its landmark. Once settled rows
+    are many, only those at the ids that the wave reached are: they lie bucketed by id.
+    """
+    if rounds.indexed:
+        reached = save(reached, "reached")
+        at = reached.select("id").distinct()
+        settled = rounds.settled().join(at, "id", "left_semi")
+    else:
+        settled = rounds.settled()
+    visited = settled.join(of_landmark, "landmark").select("id", "cluster")
+    return reached.join(visited, ["id", "cluster"], "left_anti")
+
+
+def terminal_forest(
+    edges: DataFrame, terminals: DataFrame, limits: Limits = LIMITS
+) -> tuple[DataFrame, DataFrame]:
     """The minimum spanning forest of the closure between the terminals.
 
     Returns (forest (src, landmark, hops), pointers (id, landmark, next, hops)); the
@@ -67,27 +84,25 @@ def terminal_forest(edges: DataFrame, terminals: DataFrame) -> tuple[DataFrame,
     first = terminals.select(
         "id", F.col("id").alias("landmark"), F.lit(None).cast("bigint").alias("next")
     )
-    rounds = Rounds(first, "waves")
     clusters, left = save_counted(
         terminals.select("id", F.col("id").alias("cluster")), "clusters"
     )
     forest = first.select(
         F.col("id").alias("src"), "landmark", F.lit(0).alias("hops")
     ).where(F.lit(False))
-    with EdgeIndex(edges, toward="src") as index:
+    waves = Rounds(first, "waves", ["id", "landmark"], by=["id"], limits=limits)
+    with EdgeIndex(edges, toward="src", limits=limits) as index, waves as rounds:
         while left > 1:
             of_landmark = clusters.select(F.col("id").alias("landmark"), "cluster")
-            settled = rounds.all().join(of_landmark, "landmark").select("id", "cluster")
-            wave = (
+            reached = (
                 index.expand(rounds.frontier.select("id", "landmark"))
                 .groupBy(F.col("nbr").alias("id"), "landmark")
                 .agg(F.min(F.col("id")).alias("next"))
                 .join(of_landmark, "landmark")
-                .join(settled, ["id", "cluster"], "left_anti")
                 .groupBy("id", "cluster")
                 .agg(F.min(F.struct("landmark", "next")).alias("w"))
-                .select("id", "w.landmark", "w.next")
             )
+            wave = _unvisited(reached, rounds, of_landmark).select("id", "w.landmark", "w.next")
             if not rounds.add(wave):
                 break
             linked, clusters = _link(rounds.frontier, clusters)

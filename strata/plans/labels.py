@@ -88,15 +88,14 @@ def seed_labels(
         seed_slot(F.col("id"), levels, level_size).alias("level"),
         F.col("id").alias("seed"),
     ).where("level IS NOT NULL")
-    rounds = Rounds(seeds, "seeds")
-    with EdgeIndex(edges, toward="dst") as index:
+    with EdgeIndex(edges, toward="dst") as index, Rounds(seeds, "seeds", ["id", "level"]) as rounds:
         while True:
             reached = (
                 index.expand(rounds.frontier)
                 .groupBy(F.col("nbr").alias("id"), "level")
                 .agg(F.min("seed").alias("seed"))
             )
-            if not rounds.add(rounds.without_settled(reached, ["id", "level"])):
+            if not rounds.add(rounds.without_settled(reached)):
                 break
     slots = [
         F.max(F.when(F.col("level") == i, F.col("seed"))).alias(f"slot_{i}") for i in range(levels)
