@@ -1,8 +1,11 @@
 """Hashes of words and other byte spans, computed for whole blocks of text at once.
 
-A span's hash is a polynomial in a random odd base modulo 2^64, read off prefix sums and
-then mixed, so a block costs a few numpy passes however many spans it has. Equal spans
-have equal hashes; two different ones share a hash with a chance of about 2^-64.
+A span's hash is multilinear: the sum over its bytes of a random number for the byte times a
+random odd number for its place in the span, modulo 2^64, read off prefix sums and then mixed.
+So a block costs a few numpy passes however many spans it has. Equal spans have equal hashes;
+two different ones share a hash with a chance of about 2^-64, whatever their pattern (a
+polynomial in one base would take some patterned texts of 1024 bytes for each other). The
+random numbers are fixed, so texts made against them could still collide.
 """
 
 from __future__ import annotations
@@ -13,10 +16,9 @@ import numpy as np
 
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240601).integers(1, 1 << 64, 256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_places = np.ones(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,26 +28,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        _powers = tuple(
-            np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64))))
-            for base in (_BASE, _INVERSE)
-        )
-    return _powers
+def _places_upto(n: int) -> np.ndarray:
+    """The random odd number of every place, the same ones however far they are asked for."""
+    global _places
+    if len(_places) < n:
+        blocks = -(-n // BLOCK)
+        drawn = [np.random.default_rng([20240602, k]).integers(0, 1 << 64, BLOCK, dtype=np.uint64) for k in range(blocks)]
+        _places = np.concatenate(drawn) | np.uint64(1)
+    return _places
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of every data[start:end]."""
+    """The 64-bit hash of every data[start:end]; spans rise and do not overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers_upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix(raw ^ (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes  # where each span begins among the spans' bytes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    inside = data[place + np.repeat(starts, sizes)]
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_BYTE[inside] * _places_upto(int(sizes.max()))[place], out=sums[1:])
+    raw = sums[first + sizes] - sums[first]
+    return mix(raw ^ sizes.astype(np.uint64))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
