@@ -54,7 +54,7 @@ def test_mix(spark, resplit, tmp_path):
     sizes = [sum(_size(t) for _, t, s in rows if s == f"s{k}") for k in range(3)]
     got = mixing.mix(docs).collect()
     taken = [sum(_size(r["text"]) for r in got if r["source"] == f"s{k}") for k in range(3)]
-    assert taken == [round(g) for g in mixing.targets(sizes, [1, 2, 3])]
+    assert all(abs(n - g) <= 15 for n, g in zip(taken, mixing.targets(sizes, [1, 2, 3])))  # half the largest document
     assert all(set(r["text"].split()) == {f"w{r['doc_id']}"} for r in got)
 
 
