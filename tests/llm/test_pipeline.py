@@ -40,7 +40,7 @@ def test_stages(spark):
         groups[re.sub(r"[\x20\x09-\x0D]+", "", r["text"])].append((-len(r["text"]), r["doc_id"]))
     assert sorted(r["doc_id"] for r in exact) == sorted(min(g)[1] for g in groups.values())
 
-    labels = near_brute([(r["doc_id"], r["text"]) for r in exact])
+    labels = near_brute([(r["doc_id"], r["text"]) for r in exact], percent=80)
     assert sorted(r["doc_id"] for r in near) == sorted(d for d, _, c in labels if d == c)
 
     sizes, taken, copies = Counter(), Counter(), Counter()
@@ -51,7 +51,8 @@ def test_stages(spark):
         copies[r["doc_id"]] += 1
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     goals = mixing.targets([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))])
-    assert [taken[s] for s in order] == [round(g) for g in goals]
+    largest = {s: max(_size(r["text"]) for r in near if r["source"] == s) for s in order}
+    assert all(2 * abs(taken[s] - g) <= largest[s] + 1 for s, g in zip(order, goals))
     assert max(copies.values()) <= 3 + 1 and set(copies) <= {r["doc_id"] for r in near}
 
     tokens, places = Counter(), defaultdict(list)
