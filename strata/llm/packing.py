@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,24 +74,36 @@ class Packer:
     def __init__(self, sizes: np.ndarray, length: int, seed: list[int]):
         self.sizes, self.length = sizes.tolist(), length
         self.draw = np.random.default_rng(seed)
+        self.least = math.ceil(sum(self.sizes) / length)
 
     def room(self, members: list[int]) -> int:
         return self.length - sum(self.sizes[i] for i in members)
 
     def best_fit(self, bins: Bins, loose: list[int]) -> Bins:
         """Place loose pieces, longest first, each into the fullest bin that takes it."""
-        bins = [list(b) for b in bins]
-        rooms = sorted((self.room(b), k) for k, b in enumerate(bins))
-        for i in sorted(loose, key=lambda i: (-self.sizes[i], i)):
-            at = bisect_left(rooms, (self.sizes[i], -1))
-            if at == len(rooms):
+        bins, sizes, length = [list(b) for b in bins], self.sizes, self.length
+        # The bins of every room, and the rooms that have any as the bits of a number.
+        by_room: list[list[int]] = [[] for _ in range(length + 1)]
+        some = 0
+        for k, b in enumerate(bins):
+            room = length - sum([sizes[i] for i in b])
+            by_room[room].append(k)
+            some |= 1 << room
+        for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+            size = sizes[i]
+            fitting = some >> size
+            if not fitting:
+                k, room = len(bins), length
                 bins.append([i])
-                insort(rooms, (self.length - self.sizes[i], len(bins) - 1))
             else:
-                room, k = rooms.pop(at)
+                room = size + (fitting & -fitting).bit_length() - 1
+                k = by_room[room].pop()
+                if not by_room[room]:
+                    some ^= 1 << room
                 bins[k].append(i)
-                if room > self.sizes[i]:
-                    insort(rooms, (room - self.sizes[i], k))
+            if room > size:
+                by_room[room - size].append(k)
+                some |= 1 << (room - size)
         return bins
 
     def fitness(self, bins: Bins) -> tuple[int, int]:
@@ -126,10 +137,9 @@ class Packer:
 
     def evolve(self, population: list[Bins], generations: int) -> list[Bins]:
         """The fittest of parents and children, best first; ends early at the lower bound."""
-        least = math.ceil(sum(self.sizes) / self.length)
         population = sorted(population, key=self.fitness, reverse=True)
         for _ in range(generations):
-            if len(population[0]) <= least:
+            if len(population[0]) <= self.least:
                 break
             children = []
             for _ in population:
@@ -166,10 +176,9 @@ def _epoch(state: DataFrame, epoch: int, length: int, seed: int) -> DataFrame:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"])
                 packer = Packer(sizes, length, [seed, epoch, row["problem"], row["island"]])
-                old = [_bins(np.array(s)) for s in (row["solutions"] or [])] or [
-                    packer.best_fit([], list(range(len(sizes)))),
-                    *(packer.start() for _ in range(POPULATION - 1)),
-                ]
+                old = [_bins(np.array(s)) for s in (row["solutions"] or [])] or [packer.best_fit([], list(range(len(sizes))))]
+                if len(old[0]) > packer.least:
+                    old += [packer.start() for _ in range(POPULATION - len(old))]
                 come = [_bins(np.array(s)) for s in row["arrivals"] or []]
                 population = packer.evolve(old[: POPULATION - len(come)] + come, GENERATIONS)
                 row["solutions"] = [_flat(b, len(sizes)) for b in population]
