@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from strata.llm.tables import every, map_batches, slices, texts_of
+from strata.llm.tables import map_batches, quoted, slices, texts_of
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4, 5), 16, 128
 PER_LANGUAGE, MAX_LANGUAGES, STEPS = 500, 1000, 800
@@ -245,6 +245,9 @@ def predictions(docs: DataFrame, **how: int) -> DataFrame:
 
 def identified(docs: DataFrame, min_score: float = MIN_SCORE, **how: int) -> DataFrame:
     """The rows whose language is known with at least ``min_score``, with all their columns."""
-    found = identify(docs, fit(docs, **how), "__strata_lang", "__strata_score")
+    # Other columns pass through Python in a struct, whatever their names.
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(*(F.col(quoted(c)) for c in others)).alias("__strata_doc") if others else F.lit(0).alias("__strata_doc"))
+    found = identify(packed, fit(docs, **how), "__strata_lang", "__strata_score")
     kept = found.where((F.col("__strata_lang") != UNKNOWN) & (F.col("__strata_score") >= min_score))
-    return kept.select(*every(docs))
+    return kept.select(*("text" if c == "text" else F.col(f"__strata_doc.{quoted(c)}") for c in docs.columns))

@@ -8,8 +8,9 @@ gzip header names their length it is not even read.
 
 Writing gives every record a gzip member of its own, named with its length, in files that
 are rolled at ``file_bytes``. A task's files get fresh names; the driver lists those of the
-attempts that succeeded in ``_manifest.json``, and where there is such a list only these
-files are read, so a lost or repeated attempt leaves no record twice.
+attempts that succeeded in a ``_manifest-*.json`` of that write, and where there are such lists
+only their files are read, so a lost or repeated attempt leaves no record twice and a later
+append hides no earlier one.
 
 Files are reached through ``pyarrow.fs``, so paths may name any store that it knows.
 
@@ -258,13 +259,14 @@ class WarcReader(DataSourceReader):
         fs, root = filesystem(self.path)
         if fs.get_file_info(root).type == pyarrow.fs.FileType.File:
             return [_Files((root,))]
-        manifest = f"{root}/_manifest.json"
-        found = [
-            i for i in fs.get_file_info(pyarrow.fs.FileSelector(root)) if re.search(r"\.warc(\.gz)?$", i.path) and i.is_file
-        ]
-        if fs.get_file_info(manifest).type == pyarrow.fs.FileType.File:
-            with fs.open_input_stream(manifest) as f:
-                listed = set(json.loads(f.read()))
+        files = [i for i in fs.get_file_info(pyarrow.fs.FileSelector(root)) if i.is_file]
+        found = [i for i in files if re.search(r"\.warc(\.gz)?$", i.path)]
+        manifests = [i.path for i in files if re.fullmatch(r"_manifest.*\.json", i.base_name)]
+        if manifests:
+            listed: set[str] = set()
+            for path in manifests:
+                with fs.open_input_stream(path) as f:
+                    listed.update(json.loads(f.read()))
             found = [i for i in found if i.base_name in listed]
         runs: list[list[str]] = []
         size = self.partition_bytes
@@ -325,7 +327,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json", compression=None) as f:
+        # A list of its own for every write, so that a later append leaves the earlier ones valid.
+        with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m is not None for x in m.files)).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -67,3 +67,10 @@ def test_rows_of_any_kind(spark):
     unlabelled = docs.drop("lang").selectExpr("*", "cast(null AS string) AS lang")
     assert {r["lang_pred"] for r in langid.predictions(unlabelled).collect()} == {"und"}
     assert langid.predictions(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, "the cat and the dog" if k % 2 else "der Hund und die Katze", "en" if k % 2 else "de", k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int")
+    kept = langid.identified(docs)
+    assert kept.columns == docs.columns and {r["a.b"] for r in kept.collect()} <= set(range(20)) and kept.count() > 0

@@ -78,3 +78,11 @@ def test_pages_of_any_kind(spark, tmp_path):
     none = str(tmp_path / "none")
     warc.write_archive(warc.page_records(pages.limit(0)), none)
     assert warc.read_archive(spark, none).count() == 0
+
+
+def test_a_second_append_keeps_the_first(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    for first, last in ((0, 10), (10, 15)):
+        pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(first, last)], "page_id long, url string, html string")
+        warc.write_archive(warc.page_records(pages), path)
+    assert {r["payload"].decode() for r in warc.read_archive(spark, path).collect()} == {f"page {k}" for k in range(15)}
