@@ -124,6 +124,17 @@ def fuzzy_directed(spark, sf):
     )
 
 
+_SCHEDULE = (2.0, 1.7, 1.4, 1.1)
+
+
+def fuzzy_schedule(spark, sf):
+    return _flat(equivalence.structural_fuzzy_schedule(I.attribute_edges(spark, sf), thresholds=_SCHEDULE, levels=4))
+
+
+def fuzzy_subset(spark, sf):
+    return _flat(equivalence.structural_fuzzy(I.attribute_edges(spark, sf), threshold=1.2, mode="subset"))
+
+
 QUERIES = {
     "landmark_hops": landmark_hops,
     "landmark_hops_salted": landmark_hops_salted,
@@ -144,6 +155,8 @@ QUERIES = {
     "fuzzy_equivalence": fuzzy_equivalence,
     "fuzzy_pages": fuzzy_pages,
     "fuzzy_directed": fuzzy_directed,
+    "fuzzy_schedule": fuzzy_schedule,
+    "fuzzy_subset": fuzzy_subset,
 }
 
 
@@ -213,9 +226,10 @@ def _sql_structural(relation: str, edges: str) -> str:
 SELECT id, concat_ws(',', rep, id, id, id) AS key FROM reps"""
 
 
-def _sql_fuzzy(relation: str, edges: str, threshold: float, symmetric: bool) -> str:
+def _sql_similar(relation: str, edges: str, symmetric: bool, subset: bool = False) -> str:
+    """``alike`` (id, cand, size, total): uncovered candidates with their two-sided similarity."""
     both = f"UNION SELECT dst, src FROM {edges}" if symmetric else ""
-    return f"""WITH {relation},
+    return f"""{relation},
 e AS (SELECT DISTINCT src, dst FROM {edges} {both}),
 tok AS (SELECT src AS id, 0 AS side, dst AS nbr FROM e UNION ALL SELECT dst, 1, src FROM e),
 sizes AS (SELECT id, count(*) FILTER (side = 0) AS o, count(*) FILTER (side = 1) AS i FROM tok GROUP BY 1),
@@ -227,15 +241,36 @@ pairs AS (
   FROM shared s JOIN sizes x ON x.id = s.id JOIN sizes y ON y.id = s.cand),
 covered AS (
   SELECT DISTINCT id FROM pairs WHERE bo = o AND bi = i AND (co + ci > o + i OR (co + ci = o + i AND cand < id))),
-good AS (
-  SELECT id, cand, co + ci AS size FROM pairs
-  WHERE (CASE WHEN o + co = 0 THEN 1.0::DOUBLE ELSE bo / (o + co - bo) END)
-      + (CASE WHEN i + ci = 0 THEN 1.0::DOUBLE ELSE bi / (i + ci - bi) END) >= {threshold}
-    AND cand NOT IN (SELECT id FROM covered)),
-best AS (SELECT id, cand FROM good QUALIFY row_number() OVER (PARTITION BY id ORDER BY size DESC, cand) = 1)
+alike AS (
+  SELECT id, cand, co + ci AS size,
+         (CASE WHEN o + co = 0 THEN 1.0::DOUBLE ELSE bo / (o + co - bo) END)
+         + (CASE WHEN i + ci = 0 THEN 1.0::DOUBLE ELSE bi / (i + ci - bi) END) AS total
+  FROM pairs WHERE cand NOT IN (SELECT id FROM covered) {"AND bo = o AND bi = i" if subset else ""})"""
+
+
+def _sql_best(threshold: float) -> str:
+    return f"""SELECT id, cand FROM alike WHERE total >= {threshold}
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY size DESC, cand) = 1"""
+
+
+def _sql_fuzzy(relation: str, edges: str, threshold: float, symmetric: bool, subset: bool = False) -> str:
+    return f"""WITH {_sql_similar(relation, edges, symmetric, subset)},
+best AS ({_sql_best(threshold)})
 SELECT s.id, concat_ws(',', coalesce(cand, s.id), s.id) AS key FROM sizes s LEFT JOIN best ON best.id = s.id"""
 
 
+def _sql_schedule(relation: str, edges: str, thresholds: tuple[float, ...], levels: int) -> str:
+    passes = [f"keys_0 AS (SELECT id, [id for k in range({levels})] AS k FROM sizes)"]
+    for n, threshold in enumerate(thresholds):
+        passes.append(f"best_{n} AS ({_sql_best(threshold)})")
+        passes.append(f"""keys_{n + 1} AS (
+  SELECT id, CASE WHEN c IS NULL THEN k ELSE list_concat(c[1:used], k[used + 1:]) END AS k FROM (
+    SELECT a.id, a.k, b.k AS c, 1 + len([1 for j in range(1, {levels}) if b.k[j] <> b.k[j + 1]]) AS used
+    FROM keys_{n} a LEFT JOIN best_{n} USING (id) LEFT JOIN keys_{n} b ON b.id = cand))""")
+    return f"""WITH {_sql_similar(relation, edges, True)}, {", ".join(passes)}
+SELECT id, array_to_string(k, ',') AS key FROM keys_{len(thresholds)}"""
+
+
 ORACLES = {
     "landmark_hops": f"""WITH RECURSIVE {I.SQL_FOLLOW}, {_SQL_LEADERS}, {_sql_distances("d", "leaders")}
 SELECT id, landmark, next, hops FROM d_next""",
@@ -336,4 +371,6 @@ SELECT id, array_to_string(key, ',') AS key FROM slots WHERE len(list_distinct(k
     "fuzzy_equivalence": _sql_fuzzy(I.SQL_ATTRIBUTE_EDGES, "attribute_edges", 1.4, True),
     "fuzzy_pages": _sql_fuzzy(I.SQL_PAGE_EDGES, "page_edges", 1.0, True),
     "fuzzy_directed": _sql_fuzzy(I.SQL_ATTRIBUTE_EDGES, "attribute_edges", 1.6, False),
+    "fuzzy_schedule": _sql_schedule(I.SQL_ATTRIBUTE_EDGES, "attribute_edges", _SCHEDULE, 4),
+    "fuzzy_subset": _sql_fuzzy(I.SQL_ATTRIBUTE_EDGES, "attribute_edges", 1.2, True, True),
 }

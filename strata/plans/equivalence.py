@@ -7,9 +7,13 @@ looking as soon as no candidate left can rank before the one it has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.keys import key_merge
 from strata.operators import graph
 from strata.operators.explore import with_key_columns
 from strata.session import save, save_counted
@@ -256,7 +260,7 @@ def _similar(
 
 
 def best_similar(
-    tokens: DataFrame, threshold: float, mode: str, symmetric: bool
+    tokens: DataFrame, threshold: float, mode: str, symmetric: bool, known: DataFrame | None = None
 ) -> DataFrame:
     """(id, minus_size, cand): of the uncovered sets similar to a vertex's, the largest, the least id
     among equals.
@@ -266,6 +270,9 @@ def best_similar(
     copies costs one block and not all its pairs; blocks grow, so few rounds cover a
     posting without matches. The head of a posting is found with a row number below a
     limit, which Spark applies before the shuffle: no task sees a whole hot posting.
+
+    ``known`` are the results of a higher threshold: similar at this one too, so they bound
+    the search from its first round on.
     """
     postings = save(_postings(tokens, threshold, symmetric), "postings")
     key = ["channel", "nbr", "own", "other"]
@@ -279,7 +286,7 @@ def best_similar(
         F.col("id").alias("cand"),
     )
     probes = postings.drop("minus_size")
-    best = None
+    best = known
     block = _FIRST_BLOCK
     while True:
         order = Window.partitionBy(*key).orderBy("minus_size", "cand")
@@ -323,6 +330,58 @@ def best_similar(
         block = min(block * _BLOCK_GROWTH, _LAST_BLOCK)
 
 
+@dataclass
+class _Compared:
+    """A graph's distinct neighbour sets, ready to be compared at several thresholds."""
+
+    vertices: DataFrame
+    twins: DataFrame
+    tokens: DataFrame
+    mode: str
+    symmetric: bool
+
+    @classmethod
+    def of(cls, edges: DataFrame, vertices: DataFrame | None, mode: str, symmetric: bool) -> _Compared:
+        if mode not in ("plain", "subset"):
+            raise ValueError(f"unknown mode {mode!r}")
+        vertices = graph.endpoints(edges) if vertices is None else vertices
+        if symmetric:
+            edges = graph.symmetrize(edges)
+        edges = save(graph.distinct_edges(edges), "edges")
+        all_sets = _sets(edges, symmetric)
+        twins = twin_representatives(all_sets)
+        # Twins have equal sets, so one vertex per distinct set stands for all of them.
+        sizes = twins.where("id = rep").select("id", "n_out", "n_in")
+        return cls(vertices, twins, save(_tokens(all_sets, sizes), "tokens"), mode, symmetric)
+
+    def best(self, threshold: float, known: DataFrame | None = None) -> DataFrame:
+        if not 1.0 <= threshold <= 2.0:
+            raise ValueError("threshold must lie between 1 and 2")
+        return best_similar(self.tokens, threshold, self.mode, self.symmetric, known)
+
+    def choices(self, best: DataFrame) -> DataFrame:
+        """(id, cand): whom each vertex joins, null for nobody."""
+        ranked = best.select(F.col("id").alias("rep"), "minus_size", "cand")
+        # For a twin the representative itself is a candidate too, of the twin's own size.
+        own = F.struct((-(F.col("n_out") + F.col("n_in"))).alias("s"), F.col("rep").alias("c"))
+        other = F.struct(F.col("minus_size").alias("s"), F.col("cand").alias("c"))
+        prefers_rep = (F.col("id") != F.col("rep")) & (F.col("cand").isNull() | (own < other))
+        rows = save(
+            self.twins.join(ranked, "rep", "left").select(
+                "id", "rep", "cand", prefers_rep.alias("prefers_rep")
+            ),
+            "choices",
+        )
+        asked = rows.where("prefers_rep").select(F.col("rep").alias("id")).distinct()
+        covered = covered_sets(asked, self.tokens).select(
+            F.col("id").alias("rep"), F.lit(True).alias("covered")
+        )
+        takes_rep = F.col("prefers_rep") & F.col("covered").isNull()
+        return rows.join(covered, "rep", "left").select(
+            "id", F.when(takes_rep, F.col("rep")).otherwise(F.col("cand")).alias("cand")
+        )
+
+
 def structural_fuzzy(
     edges: DataFrame,
     vertices: DataFrame | None = None,
@@ -338,41 +397,47 @@ def structural_fuzzy(
     (the default) adds every edge's reverse first. Among equally large candidates the
     least id wins. One pass: nobody follows the choice of its own choice.
     """
-    if not 1.0 <= threshold <= 2.0:
-        raise ValueError("threshold must lie between 1 and 2")
-    if mode not in ("plain", "subset"):
-        raise ValueError(f"unknown mode {mode!r}")
-    vertices = graph.endpoints(edges) if vertices is None else vertices
-    if symmetric:
-        edges = graph.symmetrize(edges)
-    edges = save(graph.distinct_edges(edges), "edges")
-    all_sets = _sets(edges, symmetric)
-    twins = twin_representatives(all_sets)
-    # Twins have equal sets, so one vertex per distinct set stands for all of them.
-    sizes = twins.where("id = rep").select("id", "n_out", "n_in")
-    tokens = save(_tokens(all_sets, sizes), "tokens")
-    best = best_similar(tokens, threshold, mode, symmetric)
-    ranked = best.select(F.col("id").alias("rep"), "minus_size", "cand")
-    # For a twin the representative itself is a candidate too, of the twin's own size.
-    own = F.struct((-(F.col("n_out") + F.col("n_in"))).alias("s"), F.col("rep").alias("c"))
-    other = F.struct(F.col("minus_size").alias("s"), F.col("cand").alias("c"))
-    prefers_rep = (F.col("id") != F.col("rep")) & (F.col("cand").isNull() | (own < other))
-    rows = save(
-        twins.join(ranked, "rep", "left").select(
-            "id", "rep", "cand", prefers_rep.alias("prefers_rep")
-        ),
-        "choices",
-    )
-    asked = rows.where("prefers_rep").select(F.col("rep").alias("id")).distinct()
-    covered = covered_sets(asked, tokens).select(
-        F.col("id").alias("rep"), F.lit(True).alias("covered")
-    )
-    takes_rep = F.col("prefers_rep") & F.col("covered").isNull()
-    joined = rows.join(covered, "rep", "left").select(
-        "id", F.when(takes_rep, F.col("rep")).otherwise(F.col("cand")).alias("cand")
-    )
+    compared = _Compared.of(edges, vertices, mode, symmetric)
+    joined = compared.choices(compared.best(threshold))
     own = F.array_repeat(F.col("id"), levels - 1)
-    keys = vertices.select("id").join(joined, "id", "left").select(
+    keys = compared.vertices.select("id").join(joined, "id", "left").select(
         "id", F.concat(F.array(F.coalesce("cand", "id")), own).alias("key")
     )
     return with_key_columns(keys, levels)
+
+
+def falling_thresholds(last: float, steps: int) -> list[float]:
+    """From 2 down to ``last`` in equal steps."""
+    return [2.0 - k * (2.0 - last) / steps for k in range(steps + 1)] if last < 2.0 else [2.0]
+
+
+def structural_fuzzy_schedule(
+    edges: DataFrame,
+    vertices: DataFrame | None = None,
+    thresholds: Sequence[float] = (2.0, 1.8, 1.6, 1.4, 1.2, 1.0),
+    mode: str = "plain",
+    levels: int = 2,
+    symmetric: bool = True,
+) -> DataFrame:
+    """:func:`structural_fuzzy` at falling thresholds, the keys carried from pass to pass.
+
+    Every vertex starts with its own id on all levels. In a pass each vertex that has a
+    choice at the pass's threshold takes over the start of the chosen vertex's key, as many
+    levels as that key distinguishes (``key_merge``), as the key was after the pass
+    before; so a vertex that joined a cluster brings later followers to that cluster. All
+    vertices of a pass choose at once. What was similar at a higher threshold still is, so a
+    pass starts from the choices of the one before and looks only for larger ones.
+    """
+    if any(a <= b for a, b in zip(thresholds, thresholds[1:])):
+        raise ValueError("thresholds must fall")
+    compared = _Compared.of(edges, vertices, mode, symmetric)
+    keys = compared.vertices.select("id", F.array_repeat("id", levels).alias("key"))
+    best = None
+    for threshold in thresholds:
+        best = compared.best(threshold, best)
+        choices = compared.choices(best).where("cand IS NOT NULL")
+        chosen = keys.select(F.col("id").alias("cand"), F.col("key").alias("chosen"))
+        taken = choices.join(chosen, "cand").select("id", "chosen")
+        key = F.when(F.col("chosen").isNull(), F.col("key")).otherwise(key_merge(F.col("chosen"), F.col("key")))
+        keys = save(keys.join(taken, "id", "left").select("id", key.alias("key")), "keys")
+    return with_key_columns(keys, levels)

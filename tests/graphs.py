@@ -205,3 +205,17 @@ def fuzzy(edges, threshold, mode="plain", symmetric=True):
             if total >= threshold and (mode == "plain" or inside):
                 best[d] = min(best.get(d, (-size[x], x)), (-size[x], x))
     return {v: best[v][1] if v in best else v for v in sets}
+
+
+def fuzzy_schedule(edges, thresholds, levels, mode="plain", symmetric=True):
+    """Pass by pass: everybody takes over the start of the chosen vertex's key of the pass before."""
+    keys = {v: [v] * levels for v in neighbor_sets(edges, symmetric)}
+    for threshold in thresholds:
+        chosen = fuzzy(edges, threshold, mode, symmetric)
+        before = keys
+        keys = {}
+        for v, own in before.items():
+            parent = before[chosen[v]]
+            used = 1 + sum(a != b for a, b in zip(parent, parent[1:]))
+            keys[v] = own if chosen[v] == v else parent[:used] + own[used:]
+    return keys
