@@ -51,25 +51,30 @@ def _store_sink(
         store.append(prepare(batch), batch_id)
         if (batch_id + 1) % compact_every == 0:
             store.compact()
+            store.collect()
 
     return write
 
 
-def distinct_store(spark, path: str, schema) -> Store:
-    """A running store of distinct rows (first batch that brought a row)."""
+def distinct_store(spark, path: str, schema, **layout) -> Store:
+    """A running store of distinct rows (first batch that brought a row). ``layout``: see Store."""
     names = schema.names
-    return Store(
-        spark, path, schema, lambda rows: rows.groupBy(*names).agg(F.min("batch_id").alias("batch_id"))
-    )
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*names).agg(F.min("batch_id").alias("batch_id"))
+
+    return Store(spark, path, schema, merge, names, **layout)
 
 
 def latest_store(
-    spark, path: str, schema, keys: Sequence[str], order_cols: Sequence[str]
+    spark, path: str, schema, keys: Sequence[str], order_cols: Sequence[str], **layout
 ) -> Store:
     """A running store of the latest row per key; a later batch wins a tie."""
-    return Store(
-        spark, path, schema, lambda rows: latest_per_key(rows, keys, [*order_cols, "batch_id"])
-    )
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, keys, [*order_cols, "batch_id"])
+
+    return Store(spark, path, schema, merge, keys, **layout)
 
 
 def distinct_sink(store: Store, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
