@@ -10,6 +10,7 @@ from strata.session import new_path
 from strata.sources import wire
 from strata.sources.streams import feeds, table_stream, wire_stream
 from strata.streaming import ingest
+from strata.streaming.store import snapshot
 
 
 def _folder(spark, df, name, files=4):
@@ -130,6 +131,45 @@ def stream_graph(spark, sf):
     return graph.attach_degrees(vertices, edges).select("screen_name", "followers_count", "out_degree", "in_degree")
 
 
+def stream_live_graph(spark, sf):
+    """The follow graph while relations and profiles still come in: at every look, both stores
+    as of their last whole batch. Returned are the final degrees and whether no look has shown
+    a user with more edges than there are in the end, or one who is not among the last."""
+    people = I.profiles(spark, sf).select(
+        "screen_name", "followers_count", "friends_count", F.lit(1).alias("listed_count"), F.lit(0).alias("time")
+    )
+    relations = wire_stream(spark, _wire_folder(spark, I.relations(spark, sf)), "relations", max_files=1)
+    profiles = wire_stream(spark, _wire_folder(spark, people), "profiles", max_files=1)
+    names, order = ["screen_name"], ["followers_count"]
+    stores = {
+        "pairs": ingest.distinct_store(spark, new_path(spark, "store"), relations.schema, buckets=8),
+        "people": ingest.latest_store(spark, new_path(spark, "store"), profiles.schema, names, order, buckets=8),
+    }
+    looks = new_path(spark, "looks")
+
+    def look():
+        now = snapshot(stores)
+        vertices, edges = graph.follow_graph(now["pairs"], now["people"])
+        degrees = graph.attach_degrees(vertices, edges).select("screen_name", "out_degree", "in_degree")
+        degrees.write.mode("append").parquet(looks)
+
+    sinks = [
+        (relations, ingest.distinct_sink(stores["pairs"], compact_every=2), new_path(spark, "offsets")),
+        (profiles, ingest.upsert_sink(stores["people"], names, order, compact_every=2), new_path(spark, "offsets")),
+    ]
+    ingest.run_together(spark, sinks, look, every=None)
+    most = spark.read.parquet(looks).groupBy("screen_name").agg(
+        F.max("out_degree").alias("most_out"), F.max("in_degree").alias("most_in")
+    )
+    last = snapshot(stores)
+    vertices, edges = graph.follow_graph(last["pairs"], last["people"])
+    final = graph.attach_degrees(vertices, edges).select("screen_name", "out_degree", "in_degree")
+    whole = (F.col("most_out") == F.col("out_degree")) & (F.col("most_in") == F.col("in_degree"))
+    return final.join(most, "screen_name", "full").select(
+        "screen_name", "out_degree", "in_degree", F.coalesce(whole, F.lit(False)).alias("never_more")
+    )
+
+
 def stream_latest_batches(spark, sf):
     """The latest use per user of every micro-batch; a batch is one month half here."""
     rows = I.uses(spark, sf).select("screen_name", "hashtag", "ts", "seq")
@@ -165,6 +205,7 @@ def stream_late_rows(spark, sf):
 QUERIES = {
     "stream_feeds": stream_feeds,
     "stream_graph": stream_graph,
+    "stream_live_graph": stream_live_graph,
     "stream_latest_batches": stream_latest_batches,
     "stream_late_rows": stream_late_rows,
     "stream_relations": stream_relations,
@@ -182,6 +223,9 @@ UNION ALL SELECT 'profile', screen_name, NULL, followers_count FROM profiles""",
     "stream_graph": f"""WITH {I.SQL_FOLLOW}, {I.SQL_PROFILES}
 SELECT screen_name, followers_count, (SELECT count(*) FROM follow WHERE src = id) AS out_degree,
   (SELECT count(*) FROM follow WHERE dst = id) AS in_degree FROM profiles""",
+    "stream_live_graph": f"""WITH {I.SQL_FOLLOW}, {I.SQL_PROFILES}
+SELECT screen_name, (SELECT count(*) FROM follow WHERE src = id) AS out_degree,
+  (SELECT count(*) FROM follow WHERE dst = id) AS in_degree, true AS never_more FROM profiles""",
     "stream_latest_batches": f"""WITH {I.SQL_USES}
 SELECT screen_name, hashtag, ts, seq, day(ts) <= 15 AS first_half FROM uses
 QUALIFY row_number() OVER (PARTITION BY screen_name, day(ts) <= 15 ORDER BY ts DESC, seq DESC) = 1""",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -109,3 +110,34 @@ def stream_daily_counts(uses: DataFrame, watermark: str = "1 day") -> DataFrame:
     ``ts`` must be TIMESTAMP: a watermark does not take TIMESTAMP_NTZ.
     """
     return daily_tag_counts(uses, watermark)
+
+
+def run_together(
+    spark: SparkSession,
+    feeds: Sequence[tuple[DataFrame, Callable[[DataFrame, int], None], str]],
+    meanwhile: Callable[[], None],
+    every: str | None = "60 seconds",
+    pause: float = 1.0,
+) -> None:
+    """Several feeds (stream, sink, checkpoint) at the same time, in one application with the
+    batch work ``meanwhile``, which is called again and again while a feed runs and once after.
+
+    With ``every=None`` the feeds end when they have read what is there. A feed that fails stops
+    the others and raises its error; started again, all go on from their checkpoints.
+    """
+    running = []
+    try:
+        for stream, sink, checkpoint in feeds:
+            running.append(start(stream, sink, checkpoint, every))
+        while any(query.isActive for query in running):
+            for query in running:
+                if query.exception() is not None:
+                    raise query.exception()
+            meanwhile()
+            time.sleep(pause)
+        for query in running:
+            query.awaitTermination()
+        meanwhile()
+    finally:
+        for query in running:
+            query.stop()

@@ -7,6 +7,7 @@ import pytest
 from strata.operators.records import daily_tag_counts, latest_per_key
 from strata.sources.streams import table_stream, wire_stream
 from strata.streaming import ingest
+from strata.streaming.store import snapshot
 
 USE = "screen_name string, hashtag string, ts timestamp, seq bigint"
 
@@ -109,3 +110,42 @@ def test_distinct_within_the_watermark(spark, tmp_path, uses):
     run(seen, ingest.batch_sink(str(tmp_path / "out"), lambda b: b), tmp_path / "offsets")
     got = spark.read.parquet(str(tmp_path / "out")).select("ts", "screen_name")
     assert rows(got) == rows(uses.select("ts", "screen_name").distinct())
+
+
+def test_looks_between_batches_see_whole_batches(spark, tmp_path):
+    schema = spark.createDataFrame([], "name string, part int").schema
+    feeds, stores = [], {}
+    for feed in ("one", "two"):
+        for part in range(4):
+            at = [(f"{feed}{i}", part) for i in range(50)]
+            spark.createDataFrame(at, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / feed))
+        stores[feed] = ingest.distinct_store(spark, str(tmp_path / f"store-{feed}"), schema, buckets=4)
+        stream = table_stream(spark, str(tmp_path / feed), schema, max_files=1)
+        sink = ingest.distinct_sink(stores[feed], compact_every=2)
+        feeds.append((stream, sink, str(tmp_path / f"offsets-{feed}")))
+    looks = []
+
+    def look():
+        seen = snapshot(stores)
+        looks.append({n: {r["part"]: r["count"] for r in d.groupBy("part").count().collect()} for n, d in seen.items()})
+
+    ingest.run_together(spark, feeds, look, every=None, pause=0.1)
+    assert len(looks) > 1, "at least one look while the feeds ran"
+    assert all(set(parts.values()) <= {50} for seen in looks for parts in seen.values())
+    for feed in stores:
+        sizes = [len(seen[feed]) for seen in looks]
+        assert sizes == sorted(sizes) and sizes[-1] == 4
+
+
+def test_a_failing_feed_stops_the_others(spark, tmp_path, uses):
+    uses.repartition(2).write.parquet(str(tmp_path / "feed"))
+    stream = table_stream(spark, str(tmp_path / "feed"), uses.schema, max_files=1)
+
+    def broken(batch, batch_id):
+        raise ValueError("broken sink")
+
+    feeds = [(stream, ingest.distinct_batches(str(tmp_path / "out")), str(tmp_path / "a")),
+             (stream, broken, str(tmp_path / "b"))]
+    with pytest.raises(Exception, match="broken sink"):
+        ingest.run_together(spark, feeds, lambda: None, every="1 seconds", pause=0.2)
+    assert not spark.streams.active
