@@ -10,6 +10,7 @@ from strata.session import new_path
 from strata.sources import wire
 from strata.sources.streams import feeds, table_stream, wire_stream
 from strata.streaming import ingest
+from strata.streaming.names import NameDictionary
 from strata.streaming.store import snapshot
 
 
@@ -170,6 +171,24 @@ def stream_live_graph(spark, sf):
     )
 
 
+def stream_names(spark, sf):
+    """A kept dictionary that two loads of profiles add to, the second with names of the first;
+    the follow graph's edges by its ids."""
+    people, relations = I.profiles(spark, sf).drop("id"), I.relations(spark, sf)
+    names = NameDictionary(spark, new_path(spark, "names"), buckets=8)
+    names.add(people.where("verified"), 0)
+    first = names.ids(people)
+    names.compact()
+    names.add(people, 1)
+    ids = names.ids(people)
+    _, edges = graph.follow_graph(relations, people, ids)
+    users = ids.join(first.withColumnRenamed("id", "first_id"), "screen_name", "left")
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    return users.join(out, "id", "left").select(
+        "screen_name", "id", "first_id", F.coalesce("out_degree", F.lit(0).cast("bigint")).alias("out_degree")
+    )
+
+
 def stream_latest_batches(spark, sf):
     """The latest use per user of every micro-batch; a batch is one month half here."""
     rows = I.uses(spark, sf).select("screen_name", "hashtag", "ts", "seq")
@@ -206,6 +225,7 @@ QUERIES = {
     "stream_feeds": stream_feeds,
     "stream_graph": stream_graph,
     "stream_live_graph": stream_live_graph,
+    "stream_names": stream_names,
     "stream_latest_batches": stream_latest_batches,
     "stream_late_rows": stream_late_rows,
     "stream_relations": stream_relations,
@@ -226,6 +246,10 @@ SELECT screen_name, followers_count, (SELECT count(*) FROM follow WHERE src = id
     "stream_live_graph": f"""WITH {I.SQL_FOLLOW}, {I.SQL_PROFILES}
 SELECT screen_name, (SELECT count(*) FROM follow WHERE src = id) AS out_degree,
   (SELECT count(*) FROM follow WHERE dst = id) AS in_degree, true AS never_more FROM profiles""",
+    "stream_names": f"""WITH {I.SQL_FOLLOW}, {I.SQL_PROFILES},
+named AS (SELECT id AS key, screen_name, {I.SQL_NAME_ID.format("screen_name")} AS id, verified FROM profiles)
+SELECT screen_name, id, CASE WHEN verified THEN id END AS first_id,
+  (SELECT count(*) FROM follow JOIN profiles p ON p.id = dst WHERE src = key) AS out_degree FROM named""",
     "stream_latest_batches": f"""WITH {I.SQL_USES}
 SELECT screen_name, hashtag, ts, seq, day(ts) <= 15 AS first_half FROM uses
 QUALIFY row_number() OVER (PARTITION BY screen_name, day(ts) <= 15 ORDER BY ts DESC, seq DESC) = 1""",

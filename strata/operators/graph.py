@@ -54,9 +54,12 @@ def resolve_edges(relations: DataFrame, ids: DataFrame, name: str = "screen_name
     return relations.join(users, "user").join(followers, "follower").select("src", "dst")
 
 
-def follow_graph(relations: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices (profiles with ids) and distinct follow edges between known users."""
-    ids = surrogate_ids(profiles)
+def follow_graph(
+    relations: DataFrame, profiles: DataFrame, ids: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Vertices (profiles with ids) and distinct follow edges between known users. ``ids``
+    (screen_name, id) come from a kept dictionary, or are made from the profiles."""
+    ids = surrogate_ids(profiles) if ids is None else ids
     vertices = profiles.join(ids, "screen_name")
     return vertices, resolve_edges(relations.distinct(), ids)
 

@@ -75,7 +75,8 @@ class Store:
         return sorted(found)
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*self._names).withColumn("store_bucket", self._bucket)
+        # A file per bucket and batch; a prepared batch has a row per key, so buckets are even.
+        rows = batch.select(*self._names).withColumn("store_bucket", self._bucket).repartition("store_bucket")
         rows.write.mode("overwrite").partitionBy("store_bucket").parquet(f"{self._path}/increment/batch_id={batch_id}")
 
     def version(self) -> int:
@@ -117,12 +118,17 @@ class Store:
             done = done | (F.col("store_bucket").isin(buckets) & (F.col("batch_id") <= upto))
         return rows.where(~done)
 
-    def read(self, at: int | None = None) -> DataFrame:
+    def read(self, at: int | None = None, like: DataFrame | None = None) -> DataFrame:
         """The current rows, or those up to batch ``at``. Buckets without open rows are read as
-        they lie; only the others are merged."""
+        they lie; only the others are merged. With ``like``, rows that have the key columns, only
+        the buckets that these rows' keys fall into are read."""
         at = self.version() if at is None else at
         manifest = self._manifest(at)
         fresh = self._open(manifest, at)
+        if like is not None:
+            near = {r[0] for r in like.select(self._bucket).distinct().collect()}
+            manifest = {b: m for b, m in manifest.items() if b in near}
+            fresh = None if fresh is None else fresh.where(F.col("store_bucket").isin(sorted(near)))
         parts = []
         touched = set() if fresh is None else self._counts(fresh).keys()
         settled = self._base({b: m for b, m in manifest.items() if b not in touched})
