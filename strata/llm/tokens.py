@@ -27,7 +27,7 @@ from strata.llm.hashing import BLOCK, span_hashes
 from strata.llm.tables import map_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK_BYTES, OVERLAP_BYTES = 1 << 18, 1 << 10
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 14, 1 << 9
 MEMO_SPANS = 1 << 20
 _LETTER, _NUMBER, _OTHER, _BLANK, _EDGE = range(5)
 # ASCII without the separators 0x1C to 0x1F, Latin-1 from U+00A1, Latin Extended-A, and the

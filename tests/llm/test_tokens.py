@@ -60,3 +60,16 @@ def test_rows_of_any_kind(spark):
     assert got == sorted([(1, 0, 0, False), (2, 0, 0, False), (2, 0, 0, False), (None, 3, 2, False),
                           (3, 3000, 601, True)], key=str)
     assert tokens.token_counts(docs.limit(0)).count() == 0
+
+
+def test_long_rows_of_a_table_are_spliced(spark, monkeypatch, encoder):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(PIECES, k=n)) for n in (3000, 9000, 20000, 30000)]
+    texts += ["word " * 9000, "x" * 40000, " " * 40000, "é" * 30000, "a" * tokens.CHUNK_BYTES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(docs).collect()}
+    assert got == {i: (len(t.encode()), len(_library(encoder, t))) for i, t in enumerate(texts)}
+    calls = []
+    monkeypatch.setattr(tokens, "encode_long", lambda e, t: calls.append(len(t)) or iter([]))
+    list(encoder.encode([t.encode() for t in texts], want_ids=False))
+    assert len(calls) == sum(len(t.encode()) > tokens.CHUNK_BYTES for t in texts) >= 6
