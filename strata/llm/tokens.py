@@ -103,6 +103,14 @@ def pretoken_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _longer(room: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``more`` written behind the first ``used`` entries; the room doubles where it is full."""
+    if used + len(more) > len(room):
+        room = np.concatenate([room[:used], np.zeros(used + 2 * len(more), room.dtype)])
+    room[used : used + len(more)] = more
+    return room
+
+
 class Encoder:
     """The library's tokenizer, with a bounded memo of pre-tokens."""
 
@@ -118,6 +126,7 @@ class Encoder:
         self.counts = np.zeros(0, np.int64)
         self.firsts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.used = self.ids_used = 0  # of counts and firsts, and of flat; what follows is room
 
     def is_plain(self, text: bytes) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
@@ -142,28 +151,33 @@ class Encoder:
             _, pick = np.unique(slot[free], return_index=True)
             won = free[pick]
             self.keys[slot[won]] = hashes[won]
-            self.where[slot[won]] = len(self.counts) + won
+            self.where[slot[won]] = self.used + won
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + np.uint64(1)) % np.uint64(len(self.keys))
 
-    def _ask(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of every span, all ids), from the library.
+    def _ask(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids of every span, where they begin, ids) from the library.
 
         Spans that are not blank go in one text with line breaks between, which split it
-        into just these spans; the rest one by one.
+        into just these spans; the rest one by one, their ids after those of the others.
         """
-        found: list[list[int]] = [[]] * len(spans)
-        joint = [i for i, span in enumerate(spans) if not span.isspace()]
-        encoding = self.library.encode(b"\n".join(spans[i] for i in joint).decode(), add_special_tokens=False)
+        blank = np.fromiter((span.isspace() for span in spans), bool, len(spans))
+        joint = np.flatnonzero(~blank)
+        text = b"\n".join([span for span, is_blank in zip(spans, blank.tolist()) if not is_blank])
+        encoding = self.library.encode(text.decode(), add_special_tokens=False)
         ids, words = np.array(encoding.ids, np.uint32), np.array(encoding.word_ids, np.int64)
-        cuts = np.flatnonzero(np.diff(words, prepend=-1))
-        if joint and len(cuts) != 2 * len(joint) - 1:
+        cuts = np.append(np.flatnonzero(np.diff(words, prepend=-1)), len(words))
+        if len(joint) and len(cuts) != 2 * len(joint):
             raise AssertionError("the library splits a pre-token")
-        for i, part in zip(joint, np.split(ids, cuts[1:])[::2]):
-            found[i] = part
-        for i in set(range(len(spans))) - set(joint):
-            found[i] = self.library.encode(spans[i].decode(), add_special_tokens=False).ids
-        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found).astype(np.uint32)
+        counts, firsts = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64)
+        counts[joint], firsts[joint] = np.diff(cuts)[::2], cuts[:-1][::2]
+        parts, size = [ids], len(ids)
+        for i in np.flatnonzero(blank).tolist():
+            part = np.array(self.library.encode(spans[i].decode(), add_special_tokens=False).ids, np.uint32)
+            counts[i], firsts[i] = len(part), size
+            parts.append(part)
+            size += len(part)
+        return counts, firsts, np.concatenate(parts)
 
     def _lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The memo's place of every span."""
@@ -172,7 +186,7 @@ class Encoder:
         if (place < 0).any():
             missing = np.flatnonzero(place < 0)
             new, first = np.unique(hashes[missing], return_index=True)
-            if len(self.counts) + len(new) > MEMO_SPANS:
+            if self.used + len(new) > MEMO_SPANS:
                 self._forget()
                 if len(new) < len(hashes):
                     new, first = np.unique(hashes, return_index=True)
@@ -180,10 +194,12 @@ class Encoder:
                 if len(new) > MEMO_SPANS:
                     raise ValueError("a block holds more distinct pre-tokens than the memo")
             at, raw = missing[first], data.tobytes()
-            counts, ids = self._ask([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            counts, firsts, ids = self._ask([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             self._insert(new)
-            self.firsts = np.append(self.firsts, len(self.flat) + np.cumsum(counts) - counts)
-            self.counts, self.flat = np.append(self.counts, counts), np.append(self.flat, ids)
+            self.firsts = _longer(self.firsts, self.used, firsts + self.ids_used)
+            self.counts = _longer(self.counts, self.used, counts)
+            self.flat = _longer(self.flat, self.ids_used, ids)
+            self.used, self.ids_used = self.used + len(new), self.ids_used + len(ids)
             place = self._find(hashes)
         return place
 
