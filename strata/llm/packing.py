@@ -3,7 +3,7 @@
 A document's tokens end with the separator. What is longer than a sequence is cut into
 whole sequences and one shorter first piece; only pieces shorter than a sequence are left
 to be packed. They are dealt by hash into problems of a few thousand pieces. A problem is
-evolved on several islands, one task each; between epochs each island's best solution
+evolved on several islands, a few of them a task; between epochs each island's best solution
 moves to the next island of its problem. A solution is a set of bins. Crossover puts the
 best-filled bins of one parent into the other, drops the bins that hold a piece twice, and
 places what was displaced by best fit; mutation empties the worst-filled bins and places
@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from strata.session import save, save_counted
 LENGTH, SEPARATOR = 1024, 2
 PROBLEM = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 4
+# An island takes some 50 ms an epoch, a task of its own far more to start.
+ISLANDS_A_TASK = 8
 
 Bins = list[list[int]]
 
@@ -72,24 +76,33 @@ class Packer:
     """The steps of the genetic algorithm on one problem."""
 
     def __init__(self, sizes: np.ndarray, length: int, seed: list[int]):
-        self.sizes, self.length = sizes.tolist(), length
+        self.array, self.sizes, self.length = np.asarray(sizes, np.int64), sizes.tolist(), length
         self.draw = np.random.default_rng(seed)
         self.least = math.ceil(sum(self.sizes) / length)
+        # Every piece's place among all, longest first.
+        self.rank = np.argsort(np.argsort(-self.array, kind="stable")).tolist()
 
     def room(self, members: list[int]) -> int:
         return self.length - sum(self.sizes[i] for i in members)
 
+    def rooms(self, bins: Bins) -> np.ndarray:
+        """The room of every bin; no bin is empty."""
+        if not bins:
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, bins), np.int64, len(bins)))
+        members = np.fromiter(chain.from_iterable(bins), np.int64, ends[-1])
+        return self.length - np.add.reduceat(self.array[members], np.append(0, ends[:-1]))
+
     def best_fit(self, bins: Bins, loose: list[int]) -> Bins:
         """Place loose pieces, longest first, each into the fullest bin that takes it."""
-        bins, sizes, length = [list(b) for b in bins], self.sizes, self.length
         # The bins of every room, and the rooms that have any as the bits of a number.
-        by_room: list[list[int]] = [[] for _ in range(length + 1)]
+        by_room: list[list[int]] = [[] for _ in range(self.length + 1)]
         some = 0
-        for k, b in enumerate(bins):
-            room = length - sum([sizes[i] for i in b])
+        for k, room in enumerate(self.rooms(bins).tolist()):
             by_room[room].append(k)
             some |= 1 << room
-        for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+        bins, sizes, length = [list(b) for b in bins], self.sizes, self.length
+        for i in sorted(loose, key=self.rank.__getitem__):
             size = sizes[i]
             fitting = some >> size
             if not fitting:
@@ -108,7 +121,10 @@ class Packer:
 
     def fitness(self, bins: Bins) -> tuple[int, int]:
         """Fewer bins first; of as many, the more unequal fill, which leaves more to gain."""
-        return -len(bins), sum((self.length - self.room(b)) ** 2 for b in bins)
+        return -len(bins), int(((self.length - self.rooms(bins)) ** 2).sum())
+
+    def _fullest_first(self, bins: Bins) -> Bins:
+        return [bins[k] for k in np.argsort(self.rooms(bins), kind="stable").tolist()]
 
     def start(self) -> Bins:
         """A random part of the pieces placed first, the rest by best fit."""
@@ -118,16 +134,16 @@ class Packer:
 
     def crossover(self, mother: Bins, father: Bins) -> Bins:
         """Inject the father's well-filled bins whole, drop what they double, best-fit the rest."""
-        good = sorted(father, key=self.room)[: max(1, len(father) // 2)]
-        chosen = [b for b in good if self.draw.random() < 0.5] or good[:1]
-        taken = {i for b in chosen for i in b}
+        good = self._fullest_first(father)[: max(1, len(father) // 2)]
+        chosen = [b for b, taken in zip(good, (self.draw.random(len(good)) < 0.5).tolist()) if taken] or good[:1]
+        taken = set(chain.from_iterable(chosen))
         whole = [b for b in mother if taken.isdisjoint(b)]
         placed = taken.union(*whole)
         return self.best_fit(chosen + whole, [i for i in range(len(self.sizes)) if i not in placed])
 
     def mutate(self, bins: Bins) -> Bins:
         """Empty the worst-filled bins and a few others, and place their pieces anew."""
-        ranked = sorted(bins, key=self.room)
+        ranked = self._fullest_first(bins)
         worst = max(1, len(bins) // 50)
         odd = set(self.draw.integers(0, len(bins), max(1, len(bins) // 20)).tolist())
         odd.update(range(len(bins) - worst, len(bins)))
@@ -137,17 +153,17 @@ class Packer:
 
     def evolve(self, population: list[Bins], generations: int) -> list[Bins]:
         """The fittest of parents and children, best first; ends early at the lower bound."""
-        population = sorted(population, key=self.fitness, reverse=True)
+        ranked = sorted([(self.fitness(b), b) for b in population], key=itemgetter(0), reverse=True)
         for _ in range(generations):
-            if len(population[0]) <= self.least:
+            if len(ranked[0][1]) <= self.least:
                 break
             children = []
-            for _ in population:
-                a, b = self.draw.choice(len(population), 2)
-                children.append(self.mutate(self.crossover(population[a], population[b])))
-            size = len(population)
-            population = sorted(population + children, key=self.fitness, reverse=True)[:size]
-        return population
+            for _ in ranked:
+                a, b = self.draw.choice(len(ranked), 2)
+                children.append(self.mutate(self.crossover(ranked[a][1], ranked[b][1])))
+            size = len(ranked)
+            ranked = sorted(ranked + [(self.fitness(b), b) for b in children], key=itemgetter(0), reverse=True)[:size]
+        return [b for _, b in ranked]
 
 
 def _flat(bins: Bins, n: int) -> np.ndarray:
@@ -173,7 +189,8 @@ def _epoch(state: DataFrame, epoch: int, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 sizes = np.array(row["sizes"])
                 packer = Packer(sizes, length, [seed, epoch, row["problem"], row["island"]])
                 old = [_bins(np.array(s)) for s in (row["solutions"] or [])] or [packer.best_fit([], list(range(len(sizes))))]
@@ -217,7 +234,7 @@ def solve(
         F.lit(None).cast("array<array<int>>").alias("arrivals"),
     )
     for epoch in range(epochs):
-        tasks = state.repartition(max(1, min(problems * islands, 20_000)), "problem", "island")
+        tasks = state.repartition(min(math.ceil(problems * islands / ISLANDS_A_TASK), 20_000), "problem", "island")
         state = save(_epoch(tasks, epoch, length, seed), f"islands-{epoch}")
         if epoch + 1 < epochs:
             state = _migrate(state, islands)
