@@ -52,7 +52,7 @@ def _store_sink(
         store.append(prepare(batch), batch_id)
         if (batch_id + 1) % compact_every == 0:
             store.compact()
-            store.collect()
+            store.remove_unused()
 
     return write
 

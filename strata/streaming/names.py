@@ -74,7 +74,7 @@ class NameDictionary:
 
     def compact(self) -> None:
         self._store.compact()
-        self._store.collect()
+        self._store.remove_unused()
 
     def ids(self, names: DataFrame, name: str = "screen_name") -> DataFrame:
         """(name, id) of the distinct names that the dictionary has."""

@@ -6,7 +6,7 @@ merges increments into the base bucket by bucket, and only where enough has come
 row is rewritten about as often as its bucket doubles, however large the store is. A manifest
 says which version of each bucket counts and up to which batch it is merged; like increments,
 it counts once its success marker is there. Readers of a manifest see its buckets and the
-batches behind them, whatever is compacted meanwhile, until ``collect`` removes it.
+batches behind them, whatever is compacted meanwhile, until ``remove_unused`` drops it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ from pyspark.sql.types import DoubleType, FloatType, StructType
 _MANIFEST = "store_bucket int, version bigint, upto bigint, rows bigint"
 
 
+def _per_bucket(df: DataFrame) -> list:
+    """The rows of a table that has one per bucket (or per open batch), gathered in one row: its
+    size is bounded by the store's layout and never grows with the rows stored."""
+    return df.agg(F.collect_list(F.struct(*df.columns)).alias("found")).first()["found"]
+
+
 class Store:
     """``merge`` turns all stored rows (column ``batch_id`` added) into the current rows; it must
     be idempotent, such as distinct or latest per key, and rows of different ``keys`` must not
@@ -90,7 +96,7 @@ class Store:
         if not numbers:
             return {}
         table = self._spark.read.schema(_MANIFEST).parquet(f"{self._path}/manifest/n={numbers[-1]}")
-        return {r["store_bucket"]: (r["version"], r["upto"], r["rows"]) for r in table.collect()}
+        return {r["store_bucket"]: (r["version"], r["upto"], r["rows"]) for r in _per_bucket(table)}
 
     def _base(self, manifest: dict) -> DataFrame | None:
         paths = [f"{self._path}/base/version={v}/store_bucket={b}" for b, (v, _, _) in sorted(manifest.items())]
@@ -126,7 +132,7 @@ class Store:
         manifest = self._manifest(at)
         fresh = self._open(manifest, at)
         if like is not None:
-            near = {r[0] for r in like.select(self._bucket).distinct().collect()}
+            near = {r[0] for r in _per_bucket(like.select(self._bucket.alias("store_bucket")).distinct())}
             manifest = {b: m for b, m in manifest.items() if b in near}
             fresh = None if fresh is None else fresh.where(F.col("store_bucket").isin(sorted(near)))
         parts = []
@@ -144,7 +150,7 @@ class Store:
     def _counts(self, fresh: DataFrame) -> dict[int, tuple[int, int]]:
         """bucket -> (open rows, oldest open batch); a row per bucket comes to the driver."""
         counted = fresh.groupBy("store_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("batch_id").alias("oldest"))
-        return {r["store_bucket"]: (r["n"], r["oldest"]) for r in counted.collect()}
+        return {r["store_bucket"]: (r["n"], r["oldest"]) for r in _per_bucket(counted)}
 
     def _merged(self, fresh: DataFrame, manifest: dict, buckets) -> DataFrame:
         rows = fresh.where(F.col("store_bucket").isin(sorted(buckets))).select(*self._stored)
@@ -177,7 +183,7 @@ class Store:
         base = f"{self._path}/base/version={at}"
         merged.repartition("store_bucket").write.mode("overwrite").partitionBy("store_bucket").parquet(base)
         written = self._spark.read.schema(self._increment_schema).parquet(base)
-        sizes = {r["store_bucket"]: r["count"] for r in written.groupBy("store_bucket").count().collect()}
+        sizes = {r["store_bucket"]: r["count"] for r in _per_bucket(written.groupBy("store_bucket").count())}
         kept = [(b, *m) for b, m in manifest.items() if b not in sizes]
         rows = kept + [(b, at, at, n) for b, n in sizes.items()]
         self._spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
@@ -185,7 +191,7 @@ class Store:
         )
         return sorted(sizes)
 
-    def collect(self, keep: int = 2) -> None:
+    def remove_unused(self, keep: int = 2) -> None:
         """Remove what only manifests before the newest ``keep`` need: their own files, bucket
         versions that no kept one names, and increments that every bucket of the oldest kept one
         has merged. A reader of a removed manifest fails; it never sees other rows."""
@@ -209,7 +215,7 @@ class Store:
                 if name.startswith("store_bucket=") and (number, int(name.split("=")[1])) not in used:
                     fs.delete(path(f"{self._path}/base/version={number}/{name}"), True)
         fresh = self._open(kept[0], first)
-        still = set() if fresh is None else {r[0] for r in fresh.select("batch_id").distinct().collect()}
+        still = set() if fresh is None else {r[0] for r in _per_bucket(fresh.select("batch_id").distinct())}
         for n in self._committed("increment"):
             if n <= first and n not in still:
                 folder, fs = self._folder(f"increment/batch_id={n}")

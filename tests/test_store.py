@@ -63,7 +63,7 @@ def test_a_version_reads_the_same_while_others_are_written(spark, tmp_path, sche
     seen = rows(reader)
     store.append(batch(spark, [("a", 3.0, 3), ("c", 3.0, 3)]), 2)
     store.compact()
-    store.collect()
+    store.remove_unused()
     assert rows(reader) == seen == rows(store.read(at)) == [("a", 2.0, 2), ("b", 1.0, 1)]
     assert rows(store.read()) == [("a", 3.0, 3), ("b", 1.0, 1), ("c", 3.0, 3)]
 
@@ -73,7 +73,7 @@ def test_what_no_kept_version_needs_is_removed(spark, tmp_path, schema):
     for n in range(6):
         store.append(batch(spark, [(f"k{i}", float(n), n) for i in range(20)]), n)
         store.compact()
-        store.collect(keep=2)
+        store.remove_unused(keep=2)
     assert store._committed("manifest") == [4, 5] and store._committed("increment") == [5]
     assert {name.split("/")[1] for name in files(tmp_path, "base")} == {"version=4", "version=5"}
     assert rows(store.read()) == sorted([(f"k{i}", 5.0, 5) for i in range(20)], key=str)
@@ -88,7 +88,7 @@ def test_open_increments_outlive_a_collection(spark, tmp_path, schema):
     for n in range(2, 6):
         store.append(batch(spark, [("k5", float(i), 10 * n + i) for i in range(40)]), n)
         store.compact()
-        store.collect(keep=1)
+        store.remove_unused(keep=1)
     got = {r["name"]: r["value"] for r in store.read().collect()}
     assert got["k3"] == 9.0 and got["k5"] == 39.0 and len(got) == 200
 
