@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from strata.operators import explore as X
 from strata.session import new_path
-from strata.sources.sinks import write_hierarchy
+from strata.sources.sinks import write_hierarchy, write_links
 
 _REGION = 1
 _NATION = 6
@@ -47,6 +47,35 @@ def stored_drill(spark, sf):
     return X.drill_members(spark.read.parquet(path), [_REGION, _NATION])
 
 
+def _stored(spark, sf):
+    path = new_path(spark, "stored-links")
+    write_links(I.geo(spark, sf), I.follow(spark, sf), path)
+    return path
+
+
+def stored_links(spark, sf):
+    """The links inside one nation, from edges stored by the clusters that hold both ends."""
+    return X.stored_links(spark, _stored(spark, sf), [_REGION, _NATION])
+
+
+def stored_adjacent(spark, sf):
+    path = _stored(spark, sf)
+    region = X.stored_adjacent(spark, path, [_REGION]).withColumn("depth", F.lit(1))
+    nation = X.stored_adjacent(spark, path, [_REGION, _NATION]).withColumn("depth", F.lit(2))
+    return region.unionByName(nation)
+
+
+def stored_rollup(spark, sf):
+    """Links between and inside the regions, and between and inside the nations of one."""
+    path, parts = _stored(spark, sf), []
+    for prefix in ([], [_REGION]):
+        inside = X.stored_interior_edges(spark, path, prefix)
+        own = inside.select(F.col("super").alias("src"), F.col("super").alias("dst"), F.col("num_edges").alias("weight"))
+        found = X.stored_super_edges(spark, path, prefix).unionByName(own)
+        parts.append(found.withColumn("depth", F.lit(len(prefix))))
+    return parts[0].unionByName(parts[1])
+
+
 def supernode_sizes(spark, sf):
     return X.supernode_sizes(_members(spark, sf))
 
@@ -109,6 +138,9 @@ QUERIES = {
     "drill_links": drill_links,
     "drill_adjacent": drill_adjacent,
     "stored_drill": stored_drill,
+    "stored_links": stored_links,
+    "stored_adjacent": stored_adjacent,
+    "stored_rollup": stored_rollup,
     "supernode_sizes": supernode_sizes,
     "super_edges": super_edges,
     "interior_edges": interior_edges,
@@ -122,6 +154,13 @@ QUERIES = {
     "rollup_members": rollup_members,
 }
 
+_SQL_ADJACENT = f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}, t AS (
+  SELECT a.key_0 AS s0, a.key_1 AS s1, b.key_0 AS d0, b.key_1 AS d1
+  FROM follow JOIN geo a ON a.id = src JOIN geo b ON b.id = dst)
+SELECT DISTINCT CASE WHEN s0 = {_REGION} THEN d0 ELSE s0 END AS id, 1 AS depth FROM t
+WHERE s0 = {_REGION} OR d0 = {_REGION}
+UNION ALL SELECT DISTINCT CASE WHEN s1 = {_NATION} THEN d1 ELSE s1 END, 2 FROM t
+WHERE s0 = {_REGION} AND d0 = {_REGION} AND (s1 = {_NATION} OR d1 = {_NATION})"""
 _SQL_GEO = f"{I.SQL_FOLLOW}, {I.SQL_GEO}, ends AS (SELECT a.key_1 AS ss, b.key_1 AS sd FROM follow JOIN geo a ON a.id = src JOIN geo b ON b.id = dst)"
 _SQL_BLOCKS = f"""{I.SQL_FOLLOW},
 ends AS (SELECT src // 10 AS ss, dst // 10 AS sd FROM follow),
@@ -139,13 +178,16 @@ UNION ALL SELECT id, key_2, 2 FROM geo WHERE key_0 = {_REGION} AND key_1 = {_NAT
     "drill_links": f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}
 SELECT src, dst FROM follow JOIN geo a ON a.id = src JOIN geo b ON b.id = dst
 WHERE a.key_0 = {_REGION} AND b.key_0 = {_REGION}""",
-    "drill_adjacent": f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}, t AS (
+    "drill_adjacent": _SQL_ADJACENT,
+    "stored_adjacent": _SQL_ADJACENT,
+    "stored_links": f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}
+SELECT src, dst FROM follow JOIN geo a ON a.id = src JOIN geo b ON b.id = dst
+WHERE a.key_0 = {_REGION} AND b.key_0 = {_REGION} AND a.key_1 = {_NATION} AND b.key_1 = {_NATION}""",
+    "stored_rollup": f"""WITH {I.SQL_FOLLOW}, {I.SQL_GEO}, t AS (
   SELECT a.key_0 AS s0, a.key_1 AS s1, b.key_0 AS d0, b.key_1 AS d1
   FROM follow JOIN geo a ON a.id = src JOIN geo b ON b.id = dst)
-SELECT DISTINCT CASE WHEN s0 = {_REGION} THEN d0 ELSE s0 END AS id, 1 AS depth FROM t
-WHERE s0 = {_REGION} OR d0 = {_REGION}
-UNION ALL SELECT DISTINCT CASE WHEN s1 = {_NATION} THEN d1 ELSE s1 END, 2 FROM t
-WHERE s0 = {_REGION} AND d0 = {_REGION} AND (s1 = {_NATION} OR d1 = {_NATION})""",
+SELECT s0 AS src, d0 AS dst, count(*) AS weight, 0 AS depth FROM t GROUP BY s0, d0
+UNION ALL SELECT s1, d1, count(*), 1 FROM t WHERE s0 = {_REGION} AND d0 = {_REGION} GROUP BY s1, d1""",
     "stored_drill": f"""WITH {I.SQL_GEO}
 SELECT id, key_2 AS super FROM geo WHERE key_0 = {_REGION} AND key_1 = {_NATION}""",
     "supernode_sizes": f"WITH {I.SQL_GEO} SELECT key_1 AS super, count(*) AS num_nodes FROM geo GROUP BY 1",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import save
@@ -65,6 +65,49 @@ def drill_adjacent(hierarchy: DataFrame, edges: DataFrame, prefix: Sequence[int]
     return linked.select(other).where("id IS NOT NULL").distinct()
 
 
+def _inside(stored: DataFrame, prefix: Sequence[int]) -> DataFrame:
+    for i, value in enumerate(prefix):
+        stored = stored.where(F.col(f"in_{i}") == F.lit(value).cast("bigint"))
+    return stored
+
+
+def _siblings(spark: SparkSession, path: str, parent: Sequence[int]) -> DataFrame:
+    pairs = spark.read.parquet(f"{path}/pairs")
+    return _inside(pairs.where(F.col("depth") == len(parent) + 1), parent)
+
+
+def stored_links(spark: SparkSession, path: str, prefix: Sequence[int]) -> DataFrame:
+    """:func:`drill_links` from what ``sources.sinks.write_links`` stored: one stretch of it."""
+    return _inside(spark.read.parquet(f"{path}/links"), prefix).select("src", "dst")
+
+
+def stored_adjacent(spark: SparkSession, path: str, prefix: Sequence[int]) -> DataFrame:
+    """:func:`drill_adjacent` from stored pairs: the rows of one cluster, no edges."""
+    if not prefix:
+        return spark.read.parquet(f"{path}/pairs").select(F.col("cluster").alias("id")).where(F.lit(False))
+    own = F.col("cluster") == F.lit(prefix[-1]).cast("bigint")
+    return _siblings(spark, path, prefix[:-1]).where(own).select(F.col("other").alias("id"))
+
+
+def stored_super_edges(spark: SparkSession, path: str, prefix: Sequence[int]) -> DataFrame:
+    """:func:`super_edges` of the clusters directly below ``prefix``, from stored pairs."""
+    apart = (F.col("cluster") != F.col("other")) & (F.col("cluster") != -1) & (F.col("other") != -1)
+    return _siblings(spark, path, prefix).where(apart & (F.col("n_out") > 0)).select(
+        F.col("cluster").alias("src"), F.col("other").alias("dst"), F.col("n_out").alias("weight")
+    )
+
+
+def stored_interior_edges(spark: SparkSession, path: str, prefix: Sequence[int]) -> DataFrame:
+    """:func:`interior_edges` of the clusters directly below ``prefix``, from stored pairs."""
+    within = (F.col("cluster") == F.col("other")) | (F.col("cluster") == -1) | (F.col("other") == -1)
+    return (
+        _siblings(spark, path, prefix)
+        .where(within & (F.col("n_out") > 0))
+        .groupBy(F.col("cluster").alias("super"))
+        .agg(F.sum("n_out").alias("num_edges"))
+    )
+
+
 def _super_links(members: DataFrame, links: DataFrame) -> DataFrame:
     src = members.select(F.col("id").alias("src"), F.col("super").alias("ss"))
     dst = members.select(F.col("id").alias("dst"), F.col("super").alias("sd"))

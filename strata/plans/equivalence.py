@@ -27,6 +27,9 @@ _FIRST_BLOCK = 64
 _BLOCK_GROWTH = 8
 # Spark applies a row-number limit before the shuffle up to this many rows by default.
 _LAST_BLOCK = 1000
+# Containment: sets that come to a node are compared up to so many, and elements followed so far.
+_NODE = 64
+_DEPTH = 16
 
 
 def _sets(edges: DataFrame, symmetric: bool) -> DataFrame:
@@ -125,28 +128,81 @@ def _shared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def covered_sets(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(id): the candidates whose sets lie inside another vertex's sets on both sides.
+def containment_pairs(candidates: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, cand) left to be compared, (id) covered without a comparison).
 
-    This is the pruning of a neighbourhood's list to its maximal entries: a set that
-    covers another one holds the common neighbour too, so it is in the same list, and the
-    result is the same for every neighbourhood. The sets are pairwise different. A cover is
-    larger and contains the rarest element of the set, so only the larger holders of that
-    element are compared. Few sets are ever asked about, mostly the largest of their kind.
+    The asked sets form a prefix tree over their elements, rarest first, that is built level
+    by level. The larger sets which hold every element on the way to a node come with it,
+    once for all sets asked there. A node to which few come is compared; from the others the
+    asked sets go on to their next element, and one without a next element is covered by
+    whoever came that far. Nodes to which nobody comes end their sets' search. A node is
+    named by the least id that passes it, so names of one level differ.
     """
     size = F.col("n_out") + F.col("n_in")
+    held = tokens.select(F.col("id").alias("cand"), "side", "nbr", size.alias("cover_size"))
+    larger = F.col("cover_size") > F.col("size")
+    own = tokens.join(candidates, "id", "left_semi").select("id", size.alias("size"), "side", "nbr", "freq")
     rarest = (
-        tokens.join(candidates, "id", "left_semi")
-        .groupBy("id")
-        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"), F.max(size).alias("size"))
-        .select("id", "size", "t.side", "t.nbr")
+        own.groupBy("id", "size")
+        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"))
+        .select("id", "size", "t.freq", "t.side", "t.nbr")
     )
-    holders = tokens.select(
-        F.col("id").alias("cand"), "side", "nbr", size.alias("cover_size")
+    few = F.col("freq") <= _NODE
+    pairs = rarest.where(few).join(held, ["side", "nbr"]).where(larger).select("id", "cand")
+    covered = candidates.select("id").where(F.lit(False))
+    asked = save(rarest.where(~few).select("id", "size", F.lit(0).cast("bigint").alias("node")), "containment-asked")
+    if asked.isEmpty():
+        return pairs, covered
+    order = Window.partitionBy("id").orderBy("freq", "side", "nbr")
+    path = save(
+        own.join(asked.select("id"), "id", "left_semi")
+        .select("id", "side", "nbr", F.row_number().over(order).alias("rn"))
+        .where(F.col("rn") <= _DEPTH),
+        "containment-path",
     )
-    pairs = rarest.join(holders, ["side", "nbr"]).where("cover_size > size").select("id", "cand")
+    comers = None
+    for level in range(1, _DEPTH + 1):
+        here = path.where(F.col("rn") == level).select("id", "side", "nbr")
+        step = asked.join(here, "id")
+        nodes = step.groupBy("node", "side", "nbr").agg(F.min("id").alias("child"), F.min("size").alias("least"))
+        if comers is None:
+            came = held.join(nodes, ["side", "nbr"])
+        else:
+            came = comers.join(held.drop("cover_size"), "cand").join(nodes, ["node", "side", "nbr"])
+        comers = save(
+            came.where(F.col("cover_size") > F.col("least")).select(F.col("child").alias("node"), "cand", "cover_size"),
+            "containment-comers",
+        )
+        counts = comers.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("cover_size").alias("largest"))
+        asked = save(
+            step.join(nodes, ["node", "side", "nbr"])
+            .select("id", "size", F.col("child").alias("node"))
+            .join(counts, "node")
+            .where(F.col("largest") > F.col("size")),
+            "containment-asked",
+        )
+        ended = F.col("size") == level
+        covered = covered.unionByName(asked.where(ended).select("id"))
+        enough = ~ended if level == _DEPTH else ~ended & (F.col("n") <= _NODE)
+        pairs = pairs.unionByName(asked.where(enough).join(comers, "node").where(larger).select("id", "cand"))
+        asked = asked.where(~ended & ~enough).select("id", "size", "node")
+        if asked.isEmpty():
+            break
+    return pairs, covered
+
+
+def covered_sets(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id): the candidates whose sets lie inside another vertex's sets on both sides.
+
+    This is the pruning of a neighbourhood's list to its maximal entries: a set that
+    covers another one holds the common neighbour too, so it is in the same list, and the
+    result is the same for every neighbourhood. The sets are pairwise different, so a cover
+    is larger. Who can be one is narrowed down by :func:`containment_pairs` and then compared
+    element by element.
+    """
+    pairs, covered = containment_pairs(candidates, tokens)
     inside = (F.col("both_out") == F.col("n_out")) & (F.col("both_in") == F.col("n_in"))
-    return _shared(pairs, tokens).where(inside).select("id").distinct()
+    return _shared(pairs, tokens).where(inside).select("id").unionByName(covered).distinct()
 
 
 def _size_class(size):

@@ -13,7 +13,7 @@ LAZY = [
     name
     for topic in (feeds, relational, explore)
     for name in topic.QUERIES
-    if name not in ("edge_list", "libsvm_source", "stored_drill")
+    if name not in ("edge_list", "libsvm_source", "stored_drill", "stored_links", "stored_adjacent", "stored_rollup")
 ]
 
 

@@ -1,5 +1,8 @@
 """Parsers, encoders and column functions on the samples of the feeds and stores."""
 
+import random
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +226,75 @@ def test_stored_hierarchy_prunes_by_prefix(spark, tmp_path):
     assert "EqualTo(key_0,3)" in plan and "ReadSchema: struct<id:bigint,key_0:bigint,key_1:bigint>" in plan
 
 
+@pytest.fixture
+def stored_graph(spark, tmp_path):
+    """(hierarchy, edges, path): three levels, repeated edges, unassigned and missing ends."""
+    rnd = random.Random(5)
+    keys = {v: [v % 5, v % 20, v] for v in range(300)}
+    keys[7], keys[8], keys[9] = [-1, -1, -1], [3, None, 8], [None, None, None]
+    pairs = [(rnd.randrange(310), rnd.randrange(310)) for _ in range(3000)]
+    pairs += [(v, v + 20) for v in range(0, 260)] * 2
+    h = spark.createDataFrame(list(keys.items()), "id bigint, key array<bigint>")
+    h = explore.with_key_columns(h, 3)
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    sinks.write_links(h, e, str(tmp_path / "links"))
+    return h, e, str(tmp_path / "links")
+
+
+@pytest.mark.parametrize("prefix", [[], [3], [3, 8], [3, 8, 28], [0], [-1], [4, 3], [99]])
+def test_stored_links_equal_the_drill_over_all_edges(spark, stored_graph, prefix):
+    h, e, path = stored_graph
+    members = explore.drill_members(h, prefix)
+    links = explore.drill_links(h, e, prefix).select("src", "dst")
+    assert sorted(rows(explore.stored_links(spark, path, prefix))) == sorted(rows(links))
+    adjacent = explore.stored_adjacent(spark, path, prefix)
+    assert sorted(rows(adjacent)) == sorted(rows(explore.drill_adjacent(h, e, prefix)))
+    if len(prefix) < 3:
+        between = explore.stored_super_edges(spark, path, prefix)
+        assert sorted(rows(between)) == sorted(rows(explore.super_edges(members, links)))
+        inside = explore.stored_interior_edges(spark, path, prefix)
+        assert sorted(rows(inside)) == sorted(rows(explore.interior_edges(members, links)))
+
+
+def test_stored_links_of_nothing(spark, tmp_path):
+    h = explore.with_key_columns(spark.createDataFrame([], "id bigint, key array<bigint>"), 2)
+    sinks.write_links(h, spark.createDataFrame([(1, 2)], "src bigint, dst bigint"), str(tmp_path / "l"))
+    assert explore.stored_links(spark, str(tmp_path / "l"), []).isEmpty()
+    assert explore.stored_adjacent(spark, str(tmp_path / "l"), [1]).isEmpty()
+
+
+def test_one_cluster_reads_few_files(spark, tmp_path):
+    keys = spark.range(4000).select("id", F.array(F.col("id") % 10, F.col("id") % 100, F.col("id")).alias("key"))
+    near = spark.range(40000).select((F.col("id") % 4000).alias("src"), ((F.col("id") * 100 + F.col("id")) % 4000).alias("dst"))
+    path = str(tmp_path / "links")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_links(explore.with_key_columns(keys, 3), near, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    drilled = explore.stored_links(spark, path, [3, 23])
+    plan = drilled._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(in_0,3)" in plan and "EqualTo(in_1,23)" in plan and "Exchange" not in plan
+    files = sorted((tmp_path / "links" / "links").glob("*.parquet"))
+
+    def may_hold(file):
+        meta = pq.ParquetFile(file).metadata
+        column = [meta.schema.names.index(c) for c in ("in_0", "in_1")]
+        for g in range(meta.num_row_groups):
+            stats = [meta.row_group(g).column(c).statistics for c in column]
+            if all(s.has_min_max and s.min <= v <= s.max for s, v in zip(stats, (3, 23))):
+                return True
+        return False
+
+    # Its own stretch, and the files in which its parent's begins and ends.
+    assert len(files) >= 12 and sum(map(may_hold, files)) <= 3
+    adjacent = explore.stored_adjacent(spark, path, [3, 23])
+    plan = adjacent._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(depth,2)" in plan and "EqualTo(cluster,23)" in plan and "Exchange" not in plan
+
+
 def test_graph_payload_sink(spark, tmp_path):
     people = spark.createDataFrame([(1, "a"), (2, "b"), (3, "alone")], "id bigint, name string")
     follows = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
