@@ -28,7 +28,7 @@ _BLOCK_GROWTH = 8
 # Spark applies a row-number limit before the shuffle up to this many rows by default.
 _LAST_BLOCK = 1000
 # Containment: sets that come to a node are compared up to so many, and elements followed so far.
-_NODE = 64
+_NODE = 1000
 _DEPTH = 16
 
 
@@ -142,15 +142,16 @@ def containment_pairs(candidates: DataFrame, tokens: DataFrame) -> tuple[DataFra
     held = tokens.select(F.col("id").alias("cand"), "side", "nbr", size.alias("cover_size"))
     larger = F.col("cover_size") > F.col("size")
     own = tokens.join(candidates, "id", "left_semi").select("id", size.alias("size"), "side", "nbr", "freq")
-    rarest = (
+    rarest = save(
         own.groupBy("id", "size")
         .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"))
-        .select("id", "size", "t.freq", "t.side", "t.nbr")
+        .select("id", "size", "t.freq", "t.side", "t.nbr"),
+        "rarest",
     )
     few = F.col("freq") <= _NODE
     pairs = rarest.where(few).join(held, ["side", "nbr"]).where(larger).select("id", "cand")
     covered = candidates.select("id").where(F.lit(False))
-    asked = save(rarest.where(~few).select("id", "size", F.lit(0).cast("bigint").alias("node")), "containment-asked")
+    asked = rarest.where(~few).select("id", "size", F.lit(0).cast("bigint").alias("node"))
     if asked.isEmpty():
         return pairs, covered
     order = Window.partitionBy("id").orderBy("freq", "side", "nbr")
