@@ -4,7 +4,8 @@ The suffixes of all documents' word sequences form one tree; a passage that occu
 is an inner node of it. Only the depth that counts is built: a suffix is followed down to
 ``width`` words (13), and its place there is the hash of these words.
 
-1. A census counts the suffixes under prefixes of 1, 2, 4 and all ``width`` words.
+1. A census counts the suffixes under prefixes of 1, 2, 4 and all ``width`` words, in more
+   buckets the more text there is.
 2. Every suffix belongs to the subtree of its shortest prefix under which few enough lie to
    be held in memory; where even the whole window is too coarse, more bits of its hash split
    on. So frequent words get long prefixes and rare ones short.
@@ -44,7 +45,9 @@ from strata.llm.tables import map_batches, slices, texts_of
 WIDTH = 13
 SUBTREE = 1 << 21
 PREFIXES = (1, 2, 4)
-_BITS = 10
+_LEAST_BITS = 10
+_MOST_BITS = 16
+_COUNTED = 1 << 17
 _LAST = np.iinfo(np.int64).max
 _HELD = 1 << 21
 _PART_BYTES = 64 << 20
@@ -78,44 +81,61 @@ def paths_of(words: np.ndarray, width: int) -> np.ndarray:
     return window_hashes(words, width) >> np.uint64(8)
 
 
-def _buckets(words: np.ndarray, width: int) -> np.ndarray:
+def _bits(size: int, limit: int) -> int:
+    """Bits of a prefix bucket's number: some eight buckets for every subtree that ``size``
+    bytes of text can fill, in which a window has two bytes at least."""
+    return min(max(math.ceil(math.log2(max(4 * size / limit, 1))), _LEAST_BITS), _MOST_BITS)
+
+
+def _buckets(words: np.ndarray, width: int, bits: int) -> np.ndarray:
     """Of every suffix, the bucket of its prefix of every length, shortest first, the window last."""
     n = max(0, len(words) - width + 1)
     lengths = [k for k in PREFIXES if k < width]
     found = [window_hashes(words, k)[:n] for k in lengths] + [mix(window_hashes(words, width))]
-    return np.array(found, np.uint64).reshape(len(found), n) >> np.uint64(64 - _BITS)
+    return np.array(found, np.uint64).reshape(len(found), n) >> np.uint64(64 - bits)
+
 
+def census(docs: DataFrame, width: int, limit: int) -> tuple[np.ndarray, int]:
+    """(suffixes under every prefix bucket, by prefix length; bytes of text).
 
-def census(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(suffixes under every prefix bucket, by prefix length; bytes of text)."""
+    The number of buckets grows with the text. Counts up to ``limit`` are all the same to
+    :func:`_subtree_of`, so only those beyond it come to the driver, which the number of
+    subtrees bounds.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    bits = _bits(size, limit)
 
     def count(batch: pa.RecordBatch) -> dict:
-        texts = texts_of(batch)
-        total = np.zeros((len(PREFIXES) + 1, 1 << _BITS), np.int64)
-        for words in word_hashes(texts):
-            for level, buckets in enumerate(_buckets(words, width).astype(np.int64)):
-                total[level] += np.bincount(buckets, minlength=1 << _BITS)
+        total = np.zeros((len(PREFIXES) + 1, 1 << bits), np.int64)
+        waiting, n = [], 0
+
+        def add() -> None:
+            for level, buckets in enumerate(np.concatenate(waiting, axis=1).astype(np.int64)):
+                total[level] += np.bincount(buckets, minlength=1 << bits)
+
+        for words in word_hashes(texts_of(batch)):
+            waiting.append(_buckets(words, width, bits))
+            n += len(words)
+            if n > _COUNTED:
+                add()
+                waiting, n = [], 0
+        if waiting:
+            add()
         level, bucket = np.nonzero(total)
-        return {
-            "level": np.append(level, -1),
-            "bucket": np.append(bucket, 0),
-            "n": np.append(total[level, bucket], sum(map(len, texts))),
-        }
+        return {"level": level, "bucket": bucket, "n": total[level, bucket]}
 
     rows = map_batches(docs.select("text"), "text", "level long, bucket long, n long", count)
-    counts, size = np.zeros((len(PREFIXES) + 1, 1 << _BITS), np.int64), 0
-    for level, bucket, n in rows.groupBy("level", "bucket").agg(F.sum("n")).collect():
-        if level < 0:
-            size = n
-        else:
-            counts[level, bucket] = n
+    over = rows.groupBy("level", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    counts = np.zeros((len(PREFIXES) + 1, 1 << bits), np.int64)
+    for level, bucket, n in over.collect():
+        counts[level, bucket] = n
     return counts, size
 
 
 def _subtree_of(buckets: np.ndarray, paths: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
     """The number of every suffix's subtree."""
     last = len(buckets) - 1
-    parts = -(-counts[last][buckets[last]] // limit)
+    parts = np.maximum(-(-counts[last][buckets[last]] // limit), 1)
     more = (mix(paths) % parts.astype(np.uint64)).astype(np.int64)
     found = (last << 56) + (buckets[last].astype(np.int64) << 40) + more
     for level in range(last - 1, -1, -1):
@@ -154,6 +174,7 @@ def _by_part(docs: np.ndarray, paths: np.ndarray, parts: int) -> pa.RecordBatch:
 def _leaves(docs: DataFrame, counts: np.ndarray, width: int, limit: int, parts: int) -> DataFrame:
     """(subtree, part, blob): of every slice and node, the least document; with ``part``, the
     windows whose node has a lesser document in the same slice."""
+    bits = counts.shape[1].bit_length() - 1
 
     def send(batch: pa.RecordBatch) -> dict | None:
         paths, ids, first, words, order = _nodes(texts_of(batch), _doc_numbers(batch), width)
@@ -162,7 +183,7 @@ def _leaves(docs: DataFrame, counts: np.ndarray, width: int, limit: int, parts:
         least = np.minimum.reduceat(ids, first)
         over = ids > np.repeat(least, np.diff(np.append(first, len(paths))))
         own = _by_part(ids[over], paths[over], parts) if over.any() else None
-        buckets = np.concatenate([_buckets(w, width) for w in words], axis=1)[:, order[first]]
+        buckets = np.concatenate([_buckets(w, width, bits) for w in words], axis=1)[:, order[first]]
         paths = paths[first]
         subtrees, rank = np.unique(_subtree_of(buckets, paths, counts, limit), return_inverse=True)
         by = np.argsort(rank.astype(np.uint16 if len(subtrees) <= 1 << 16 else np.int64), kind="stable")
@@ -236,7 +257,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, subtree: int = SUBTREE)
     ``kept`` is what is left, joined by one space.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts, size = census(rows, width)
+    counts, size = census(rows, width, subtree)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _PART_BYTES))
     covered = _covered(_leaves(rows, counts, width, subtree, parts), parts)
 

@@ -77,3 +77,18 @@ def test_blobs_round_trip():
         for ordered in (True, False):
             a, b = substrings.unpack(substrings.pack(paths, docs, ordered), ordered)
             assert (a == paths).all() and (b == docs).all()
+
+
+def test_census_grows_with_the_text():
+    limit = substrings.SUBTREE
+    assert substrings._bits(0, limit) == substrings._bits(10**8, limit) == 10
+    for size in (10**10, 10**11):
+        # Of evenly spread prefixes, each bucket of the shortest ones fits into a subtree.
+        assert size / 2 / 2 ** substrings._bits(size, limit) < limit / 2
+    draw = np.random.default_rng(2)
+    words = draw.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    fine, coarse = (substrings._buckets(words, 13, bits) for bits in (16, 10))
+    assert (fine >> np.uint64(6) == coarse).all()
+    counts = np.zeros((4, 1 << 16), np.int64)
+    known = substrings._subtree_of(fine, substrings.paths_of(words, 13), counts, limit)
+    assert known.max() < 1 << 56  # all by their first word
