@@ -290,8 +290,11 @@ def test_one_cluster_reads_few_files(spark, tmp_path):
 
     # Its own stretch, and the files in which its parent's begins and ends.
     assert len(files) >= 12 and sum(map(may_hold, files)) <= 3
-    adjacent = explore.stored_adjacent(spark, path, [3, 23])
-    plan = adjacent._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = explore.stored_adjacent(spark, path, [3, 23])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(depth,2)" in plan and "EqualTo(cluster,23)" in plan and "Exchange" not in plan
 
 
