@@ -22,11 +22,17 @@ from strata.session import save_counted
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes that steer the layout; results never depend on them."""
+    """Sizes that steer the layout; results never depend on them.
+
+    Partitions of fewer than ``full_partition`` rows are made only as far as there are cores
+    to share them: every round of a loop starts a task for each partition.
+    """
 
     hot_min_rows: int = 1_000_000
     keep_rows: int = 1_000_000
     rows_per_partition: int = 4_000_000
+    full_partition: int = 4_000_000
+    tasks_per_core: int = 4
     max_partitions: int = 100_000
     settled_rows: int = 1_000_000
 
@@ -34,6 +40,12 @@ class Limits:
 LIMITS = Limits()
 
 
+def partitions(rows: int, least: int, cores: int, limits: Limits = LIMITS) -> int:
+    """Of how many partitions a kept table of ``rows`` rows is, ``least`` at least."""
+    useful = max(limits.tasks_per_core * cores, rows // limits.full_partition)
+    return min(max(least, min(rows // limits.rows_per_partition, useful)), limits.max_partitions)
+
+
 def hot_keys(df: DataFrame, key: str, rows: int, parts: int, min_rows: int = LIMITS.hot_min_rows) -> DataFrame | None:
     """(key, splits) of the keys that fill more than two of ``parts`` partitions, None if
     there are none."""
@@ -75,8 +87,9 @@ class EdgeIndex:
         at = {"src": "dst", "dst": "src"}[toward]
         table = edges.select(F.col(at).alias("id"), F.col(toward).alias("nbr"))
         rows = table.count()  # from the file footers
-        conf = table.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        parts = min(max(int(conf), rows // limits.rows_per_partition), limits.max_partitions)
+        spark = table.sparkSession
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = partitions(rows, least, spark.sparkContext.defaultParallelism, limits)
         self.hot = hot_keys(table, "id", rows, parts, limits.hot_min_rows)
         self._on = ["id"] if self.hot is None else ["id", "salt"]
         if self.hot is not None:
