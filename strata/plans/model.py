@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from strata.operators.graph import below_share
 from strata.sources.sinks import write_predictions
 
+# Of a row training keeps four bytes per entry of its vector and, in a forest of the default
+# 20 trees, about so many more.
+_ROW_BYTES = 256
+_PARTITION_BYTES = 64 << 20
+
 _ALGORITHMS = {"tree": DecisionTreeRegressor, "forest": RandomForestRegressor}
 
 
@@ -71,18 +76,34 @@ def vector_pipeline(
 def train(df: DataFrame, pipeline: Pipeline, path: str | None = None) -> PipelineModel:
     """Fit, and store the model at ``path`` so that scoring jobs can load it.
 
-    Rows that come from fewer files than there are cores are spread first, since training
-    passes over them many times; a larger input keeps its partitions.
+    Training keeps the rows as arrays and passes over them many times, so they are spread
+    first: over all cores, and so that a partition's arrays stay below a bound. How many
+    files the rows come from says nothing of that, since stored rows are far smaller.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
-    model = pipeline.fit(df)
+    model = pipeline.fit(df.repartition(max(cores, _training_partitions(df, pipeline))))
     if path is not None:
         model.write().overwrite().save(path)
     return model
 
 
+def _training_partitions(df: DataFrame, pipeline: Pipeline) -> int:
+    """Partitions in which the arrays that training keeps of their rows fit."""
+    row_bytes = _ROW_BYTES + 4 * _vector_size(df, pipeline)
+    return -(-df.count() * row_bytes // _PARTITION_BYTES)
+
+
+def _vector_size(df: DataFrame, pipeline: Pipeline) -> int:
+    """Entries of a row's feature vector: the hasher's slots, or those of the ready vectors."""
+    for stage in pipeline.getStages():
+        if isinstance(stage, FeatureHasher):
+            return stage.getNumFeatures()
+        if isinstance(stage, VectorIndexer):
+            first = df.select(stage.getInputCol()).first()
+            return 0 if first is None or first[0] is None else len(first[0])
+    return 0
+
+
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

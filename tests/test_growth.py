@@ -1,6 +1,10 @@
 """Layouts that must not grow faster than their tables, or fill one task."""
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
 from strata.operators import skew
+from strata.plans import model
 from strata.session import save
 
 
@@ -22,3 +26,32 @@ def test_partitions_of_a_kept_table():
     # Full partitions are as many as the rows fill, whatever the cores.
     assert skew.partitions(4_000_000_000, 100, 12, low) == 1000
     assert skew.partitions(4_000_000_000, 100, 12) == 1000
+
+
+class _Fit:
+    """A pipeline that only notes how many partitions it is given."""
+
+    def __init__(self, pipeline):
+        self.getStages = pipeline.getStages
+
+    def fit(self, df):
+        self.partitions = df.rdd.getNumPartitions()
+
+
+def test_training_is_spread_by_the_size_of_its_arrays(spark):
+    rows = save(spark.range(4000).selectExpr("id AS a", "1.0D AS label"), "training")
+    cores = spark.sparkContext.defaultParallelism
+    wide = _Fit(model.feature_pipeline(["a"], [], num_features=1 << 16))
+    model.train(rows, wide)
+    assert wide.partitions == max(cores, -(-4000 * (4 * (1 << 16) + 256) // (64 << 20)))
+    narrow = _Fit(model.feature_pipeline(["a"], [], num_features=1 << 8))
+    model.train(rows, narrow)
+    assert narrow.partitions == cores
+
+
+def test_training_on_ready_vectors_is_spread_by_their_size(spark):
+    vector = array_to_vector(F.array_repeat(F.col("id").cast("double"), 20_000))
+    rows = save(spark.range(9000).select(F.lit(1.0).alias("label"), vector.alias("features")), "training")
+    wide = _Fit(model.vector_pipeline())
+    model.train(rows, wide)
+    assert wide.partitions == -(-9000 * (4 * 20_000 + 256) // (64 << 20)) > spark.sparkContext.defaultParallelism
