@@ -73,22 +73,25 @@ def landmark_paths(
     """(id, landmark, hops, path): like :func:`landmark_pointers` with whole paths.
 
     The path lists the vertices after ``id`` up to the landmark (empty for the landmark
-    itself). Among equally short paths it is the lexicographically least. An array holds
-    at most as many ids as the path has hops.
+    itself). Among equally short paths it is the lexicographically least: it starts with the
+    least neighbour one hop nearer and goes on with that one's own path. So a wave chooses
+    among ids, and a path is moved once, for the vertex that takes it over, and not along
+    every edge. An array holds at most as many ids as the path has hops.
     """
     start = landmarks.select(
         "id", F.col("id").alias("landmark"), F.array().cast("array<bigint>").alias("path")
     )
     with EdgeIndex(edges, toward="src") as index, Rounds(start, "paths", ["id", "landmark"]) as rounds:
         while True:
-            longer = F.concat(F.array(F.col("id")), F.col("path"))
             reached = (
-                index.expand(rounds.frontier)
-                .select(F.col("nbr").alias("to"), "landmark", longer.alias("path"))
-                .groupBy(F.col("to").alias("id"), "landmark")
-                .agg(F.min("path").alias("path"))
+                index.expand(rounds.frontier.select("id", "landmark"))
+                .groupBy(F.col("nbr").alias("id"), "landmark")
+                .agg(F.min(F.col("id")).alias("next"))
             )
-            if not rounds.add(rounds.without_settled(reached)):
+            nearer = rounds.frontier.select(F.col("id").alias("next"), "landmark", F.col("path").alias("rest"))
+            longer = F.concat(F.array("next"), F.col("rest")).alias("path")
+            fresh = rounds.without_settled(reached).join(nearer, ["next", "landmark"])
+            if not rounds.add(fresh.select("id", "landmark", longer)):
                 break
             _check_hops(rounds, max_hops)
     return rounds.all().select("id", "landmark", F.col("round").alias("hops"), "path")

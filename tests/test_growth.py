@@ -3,7 +3,7 @@
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from strata.operators import skew
+from strata.operators import paths, skew
 from strata.plans import model
 from strata.session import save
 
@@ -55,3 +55,21 @@ def test_training_on_ready_vectors_is_spread_by_their_size(spark):
     wide = _Fit(model.vector_pipeline())
     model.train(rows, wide)
     assert wide.partitions == -(-9000 * (4 * 20_000 + 256) // (64 << 20)) > spark.sparkContext.defaultParallelism
+
+
+def test_paths_are_not_moved_along_every_edge(spark, monkeypatch):
+    # 0 and 1 are landmarks; 9 reaches 0 over 2 and 3 (least ids first) as well as over 4 and 5.
+    pairs = [(9, 4), (4, 5), (5, 0), (9, 2), (2, 3), (2, 5), (3, 0), (0, 1), (1, 0), (7, 7)]
+    edges = save(spark.createDataFrame(pairs, "src bigint, dst bigint"), "edges")
+    moved, expand = set(), skew.EdgeIndex.expand
+
+    def noted(self, frontier):
+        moved.update(frontier.columns)
+        return expand(self, frontier)
+
+    monkeypatch.setattr(skew.EdgeIndex, "expand", noted)
+    found = paths.landmark_paths(edges, spark.createDataFrame([(0,), (1,)], "id bigint"))
+    got = {(r["id"], r["landmark"]): (r["hops"], list(r["path"])) for r in found.collect()}
+    assert moved == {"id", "landmark"}
+    assert got[9, 0] == (3, [2, 3, 0]) and got[9, 1] == (4, [2, 3, 0, 1]) and got[4, 0] == (2, [5, 0])
+    assert got[0, 0] == (0, []) and got[1, 0] == (1, [0]) and len(got) == 14
