@@ -2,7 +2,9 @@
 
 Uses are first counted per (user, tag, day slot). Everything after that works on slot
 counts: the follower join, the unfolding of a slot into the few cut-offs it touches, and
-the final sum. No use is ever joined with the list of cut-offs.
+the final sum. No use is ever joined with the list of cut-offs. Slots are unfolded only
+after they were dealt by user and tag to partitions of bounded size, so what a task holds
+of the unfolded rows does not grow with the data.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DAY_US = 86_400_000_000
+# Uses a partition of the unfolded slots is made for, a shuffle's size says little of them.
+_PARTITION_USES = 50_000
 
 
 def _age_us(as_of: dt.datetime) -> Column:
@@ -37,24 +41,35 @@ def slot_counts(uses: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def _unfold(slots: DataFrame, lookback_days: int, own: bool) -> DataFrame:
-    """Slot counts as contributions to cut-offs: cut-off j lies j days before ``as_of``."""
+def _unfolded(lookback_days: int) -> Column:
+    """The cut-offs that a row of slot counts touches, with what it brings to them: cut-off j
+    lies j days before ``as_of``. A row with ``last`` only marks cut-offs 0 to last."""
     zero = F.lit(0).cast("bigint")
-    n = F.col("n")
+    no_edge = F.when(F.col("edge"), zero)
 
-    def part(back: int, label: Column, tweets: Column, relations: Column) -> Column:
+    def part(j: Column, eligible: bool, label: Column, tweets: Column, relations: Column) -> Column:
         return F.struct(
-            (F.col("slot") - back).alias("j"),
+            j.alias("j"),
+            F.lit(eligible).alias("eligible"),
             label.alias("label"),
             tweets.alias("num_tweets"),
             relations.alias("num_user_relations"),
         )
 
-    parts = [part(1, n, zero, zero)] if own else []
+    parts = [part(F.col("slot") - 1, False, F.col("n"), zero, zero)]
     for back in range(2, lookback_days + 2):
-        count = n if back <= lookback_days else F.when(F.col("edge"), zero).otherwise(n)
-        parts.append(part(back, zero, count, zero) if own else part(back, zero, zero, count))
-    return slots.select("id", "hashtag", F.lit(False).alias("eligible"), F.inline(F.array(*parts)))
+        own, theirs = F.col("n"), F.col("theirs")
+        if back > lookback_days:
+            own, theirs = no_edge.otherwise(own), no_edge.otherwise(theirs)
+        parts.append(part(F.col("slot") - back, False, zero, own, theirs))
+    marks = F.transform(F.sequence(F.lit(0), "last"), lambda j: part(j, True, zero, zero, zero))
+    return F.inline(F.when(F.col("last").isNull(), F.array(*parts)).otherwise(marks))
+
+
+def _partitions(uses: DataFrame) -> int:
+    """To how many partitions slots are dealt: by the uses, and one a core at least."""
+    cores = uses.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-uses.count() // _PARTITION_USES))
 
 
 def tag_features(
@@ -75,34 +90,35 @@ def tag_features(
     known users, ``profiles`` one row per ``id``.
     """
     slots = slot_counts(uses, as_of)
-    follower_slots = (
-        slots.join(edges.select("src", F.col("dst").alias("id")), "id")
-        .groupBy(F.col("src").alias("id"), "hashtag", "slot", "edge")
-        .agg(F.sum("n").alias("n"))
-    )
     days = -(-int((as_of - begin) / dt.timedelta(microseconds=1)) // _DAY_US)
     # ``n`` is read here only so that the slot counts are the same sub-plan in all three
     # places and Spark shuffles the uses once.
     first_use = slots.groupBy("id", "hashtag").agg(
         F.max(F.when(F.col("n") > 0, F.col("slot"))).alias("slot")
     )
-    zero = F.lit(0).cast("bigint")
     last = F.least(F.col("slot") - 2, F.lit(days - 1))
-    eligible = first_use.where(last >= 0).select(
-        "id",
-        "hashtag",
-        F.lit(True).alias("eligible"),
-        F.explode(F.sequence(F.lit(0), last)).alias("j"),
-        zero.alias("label"),
-        zero.alias("num_tweets"),
-        zero.alias("num_user_relations"),
+    eligible = first_use.select("id", "hashtag", last.alias("last")).where("last >= 0")
+    # Followers count only for users who are eligible for something.
+    wanted = edges.join(eligible.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    follower_slots = (
+        slots.join(wanted.select("src", F.col("dst").alias("id")), "id")
+        .groupBy(F.col("src").alias("id"), "hashtag", "slot", "edge")
+        .agg(F.sum("n").alias("n"))
     )
-    contributions = _unfold(slots, lookback_days, own=True).unionByName(
-        _unfold(follower_slots, lookback_days, own=False)
+    zero = F.lit(0).cast("bigint")
+    none = F.lit(None).cast("int").alias("last")
+    key = ["id", "hashtag"]
+    dealt = (
+        slots.select(*key, "slot", "edge", "n", zero.alias("theirs"), none)
+        .unionByName(
+            follower_slots.select(*key, "slot", "edge", zero.alias("n"), F.col("n").alias("theirs"), none)
+        )
+        .unionByName(eligible, allowMissingColumns=True)
+        .repartition(_partitions(uses), *key)
     )
     rows = (
-        contributions.where((F.col("j") >= 0) & (F.col("j") < days))
-        .unionByName(eligible)
+        dealt.select(*key, _unfolded(lookback_days))
+        .where((F.col("j") >= 0) & (F.col("j") < days))
         .groupBy("id", "hashtag", "j")
         .agg(
             F.bool_or("eligible").alias("eligible"),

@@ -1,10 +1,13 @@
 """Layouts that must not grow faster than their tables, or fill one task."""
 
+import datetime as dt
+import re
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from strata.operators import paths, skew
-from strata.plans import model
+from strata.plans import features, model
 from strata.session import save
 
 
@@ -73,3 +76,19 @@ def test_paths_are_not_moved_along_every_edge(spark, monkeypatch):
     assert moved == {"id", "landmark"}
     assert got[9, 0] == (3, [2, 3, 0]) and got[9, 1] == (4, [2, 3, 0, 1]) and got[4, 0] == (2, [5, 0])
     assert got[0, 0] == (0, []) and got[1, 0] == (1, [0]) and len(got) == 14
+
+
+def test_slots_are_unfolded_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(features, "_PARTITION_USES", 2, raising=False)
+    begin, day = dt.datetime(2024, 1, 1), dt.timedelta(days=1)
+    used = [(u, tag, begin + (u % 5) * day) for u in range(30) for tag in ("a", None)]
+    uses = spark.createDataFrame(used, "id bigint, hashtag string, ts timestamp_ntz")
+    edges = spark.createDataFrame([(1, 5), (99, 1)], "src bigint, dst bigint")
+    profiles = spark.createDataFrame([(u,) for u in range(30)], "id bigint")
+    df = features.tag_features(uses, edges, profiles, begin, begin + 8 * day)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.search(r"hashpartitioning\(id#\d+L, hashtag#\d+, 30\), REPARTITION_BY_NUM", plan)
+    # A plan is printed from its end: the rows are unfolded after they were dealt.
+    assert dealt and 0 <= plan.rfind("Generate inline") < dealt.start()
+    got = {(r["hashtag"], r["cutoff"]): r["num_user_relations"] for r in df.where("id = 1").collect()}
+    assert got == {(tag, begin + j * day): int(j in (2, 3)) for tag in ("a", None) for j in range(3, 9)}
