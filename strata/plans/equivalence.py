@@ -99,17 +99,30 @@ def structural(
     return with_key_columns(keys, levels)
 
 
-def _tokens(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _tokens(sets: DataFrame, sizes: DataFrame, twins: DataFrame | None = None) -> DataFrame:
     """The elements of the sets of ``sizes`` with all that the search needs of them: (id,
-    side, nbr, n_out, n_in, freq), freq counting the sets that hold the element there."""
-    kept = sets.join(sizes, "id")
+    side, nbr, weight, n_out, n_in, freq), freq counting the sets that hold the element there.
+
+    With ``twins`` (id, rep), elements that are twins are one of that weight: whoever holds one
+    of them holds all, since the same edges make their sets. A hub's set then has a row per
+    kind of neighbour and not per neighbour.
+    """
+    if twins is None:
+        kept = sets.withColumn("weight", F.lit(1).cast("bigint"))
+    else:
+        kept = sets.join(twins.groupBy(F.col("rep").alias("nbr")).agg(F.count("id").alias("weight")), "nbr")
+    kept = kept.join(sizes, "id")
     freq = kept.groupBy("side", "nbr").agg(F.count(F.lit(1)).alias("freq"))
     return kept.join(freq, ["side", "nbr"])
 
 
+def _weight(side: int):
+    return F.sum(F.when(F.col("side") == side, F.col("weight")).otherwise(0))
+
+
 def _shared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, cand, n_out, n_in, c_out, c_in, both_out, both_in) of the pairs (id, cand)."""
-    own = tokens.select("id", "side", "nbr", "n_out", "n_in")
+    own = tokens.select("id", "side", "nbr", "weight", "n_out", "n_in")
     other = tokens.select(
         F.col("id").alias("cand"),
         "side",
@@ -122,8 +135,8 @@ def _shared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         .join(other, ["cand", "side", "nbr"])
         .groupBy("id", "cand", "n_out", "n_in", "c_out", "c_in")
         .agg(
-            F.count_if(F.col("side") == 0).alias("both_out"),
-            F.count_if(F.col("side") == 1).alias("both_in"),
+            _weight(0).alias("both_out"),
+            _weight(1).alias("both_in"),
         )
     )
 
@@ -141,17 +154,19 @@ def containment_pairs(candidates: DataFrame, tokens: DataFrame) -> tuple[DataFra
     size = F.col("n_out") + F.col("n_in")
     held = tokens.select(F.col("id").alias("cand"), "side", "nbr", size.alias("cover_size"))
     larger = F.col("cover_size") > F.col("size")
-    own = tokens.join(candidates, "id", "left_semi").select("id", size.alias("size"), "side", "nbr", "freq")
+    own = tokens.join(candidates, "id", "left_semi").select("id", size.alias("size"), "side", "nbr", "weight", "freq")
+    # After so many steps nothing of a set is left.
+    steps = F.when(F.sum("weight") == F.col("size"), F.count(F.lit(1))).otherwise(-1).alias("steps")
     rarest = save(
         own.groupBy("id", "size")
-        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"))
-        .select("id", "size", "t.freq", "t.side", "t.nbr"),
+        .agg(F.min(F.struct("freq", "side", "nbr")).alias("t"), steps)
+        .select("id", "size", "steps", "t.freq", "t.side", "t.nbr"),
         "rarest",
     )
     few = F.col("freq") <= _NODE
     pairs = rarest.where(few).join(held, ["side", "nbr"]).where(larger).select("id", "cand")
     covered = candidates.select("id").where(F.lit(False))
-    asked = rarest.where(~few).select("id", "size", F.lit(0).cast("bigint").alias("node"))
+    asked = rarest.where(~few).select("id", "size", "steps", F.lit(0).cast("bigint").alias("node"))
     if asked.isEmpty():
         return pairs, covered
     order = Window.partitionBy("id").orderBy("freq", "side", "nbr")
@@ -177,16 +192,16 @@ def containment_pairs(candidates: DataFrame, tokens: DataFrame) -> tuple[DataFra
         counts = comers.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("cover_size").alias("largest"))
         asked = save(
             step.join(nodes, ["node", "side", "nbr"])
-            .select("id", "size", F.col("child").alias("node"))
+            .select("id", "size", "steps", F.col("child").alias("node"))
             .join(counts, "node")
             .where(F.col("largest") > F.col("size")),
             "containment-asked",
         )
-        ended = F.col("size") == level
+        ended = F.col("steps") == level
         covered = covered.unionByName(asked.where(ended).select("id"))
         enough = ~ended if level == _DEPTH else ~ended & (F.col("n") <= _NODE)
         pairs = pairs.unionByName(asked.where(enough).join(comers, "node").where(larger).select("id", "cand"))
-        asked = asked.where(~ended & ~enough).select("id", "size", "node")
+        asked = asked.where(~ended & ~enough).select("id", "size", "steps", "node")
         if asked.isEmpty():
             break
     return pairs, covered
@@ -230,7 +245,7 @@ def _prefix_postings(tokens: DataFrame, threshold: float) -> DataFrame:
     whole bucket at a time, so a set of any size is cut without sorting it in one task;
     the prefix can only come out longer than needed.
 
-    ``tokens``: (channel, id, nbr, size, bucket, minus_size).
+    ``tokens``: (channel, id, nbr, weight, size, bucket, minus_size).
     """
     # At most a few thousand buckets per set, however large the set is.
     upto = Window.partitionBy("channel", "id").orderBy("bucket").rowsBetween(
@@ -238,7 +253,7 @@ def _prefix_postings(tokens: DataFrame, threshold: float) -> DataFrame:
     )
     before = (
         tokens.groupBy("channel", "id", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("weight").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         .select("channel", "id", "bucket", "before")
     )
@@ -281,6 +296,7 @@ def _postings(tokens: DataFrame, threshold: float, symmetric: bool) -> DataFrame
             (F.col("side") + first).alias("channel"),
             "id",
             "nbr",
+            "weight",
             size.alias("size"),
             bucket.alias("bucket"),
             minus_size.alias("minus_size"),
@@ -401,15 +417,15 @@ class _Compared:
     def of(cls, edges: DataFrame, vertices: DataFrame | None, mode: str, symmetric: bool) -> _Compared:
         if mode not in ("plain", "subset"):
             raise ValueError(f"unknown mode {mode!r}")
-        vertices = graph.endpoints(edges) if vertices is None else vertices
         if symmetric:
             edges = graph.symmetrize(edges)
         edges = save(graph.distinct_edges(edges), "edges")
+        vertices = graph.endpoints(edges) if vertices is None else vertices
         all_sets = _sets(edges, symmetric)
         twins = twin_representatives(all_sets)
         # Twins have equal sets, so one vertex per distinct set stands for all of them.
         sizes = twins.where("id = rep").select("id", "n_out", "n_in")
-        return cls(vertices, twins, save(_tokens(all_sets, sizes), "tokens"), mode, symmetric)
+        return cls(vertices, twins, save(_tokens(all_sets, sizes, twins), "tokens"), mode, symmetric)
 
     def best(self, threshold: float, known: DataFrame | None = None) -> DataFrame:
         if not 1.0 <= threshold <= 2.0:

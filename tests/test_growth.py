@@ -1,13 +1,16 @@
 """Layouts that must not grow faster than their tables, or fill one task."""
 
 import datetime as dt
+import random
 import re
 
+import graphs
+import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from strata.operators import paths, skew
-from strata.plans import features, model
+from strata.plans import equivalence, features, model
 from strata.session import save
 
 
@@ -92,3 +95,34 @@ def test_slots_are_unfolded_in_partitions_of_bounded_size(spark, monkeypatch):
     assert dealt and 0 <= plan.rfind("Generate inline") < dealt.start()
     got = {(r["hashtag"], r["cutoff"]): r["num_user_relations"] for r in df.where("id = 1").collect()}
     assert got == {(tag, begin + j * day): int(j in (2, 3)) for tag in ("a", None) for j in range(3, 9)}
+
+
+def _star_pairs(copies):
+    """``copies`` vertices of each of three kinds, told apart by the hubs they hang on."""
+    kinds = [(-1, -2), (-1, -2, -3), (-2, -3)]
+    return [(100 * k + 1000 * c, hub) for k, hubs in enumerate(kinds, 1) for c in range(copies) for hub in hubs]
+
+
+def test_twin_elements_are_stored_once(spark):
+    rows = {}
+    for copies in (2, 8):
+        edges = spark.createDataFrame(_star_pairs(copies), "src bigint, dst bigint")
+        compared = equivalence._Compared.of(edges, None, "plain", True)
+        rows[copies] = compared.tokens.count()
+        held = {r["id"]: r["n"] for r in compared.tokens.groupBy("id").agg(F.sum("weight").alias("n")).collect()}
+        assert held[-1] == 2 * copies and held[-2] == 3 * copies and held[-3] == 2 * copies
+    # Three kinds of vertices and three hubs, however many vertices there are of a kind.
+    assert rows[2] == rows[8] == 14
+
+
+@pytest.mark.parametrize("mode, symmetric", [("plain", True), ("subset", True), ("plain", False)])
+def test_weights_choose_like_single_elements(spark, monkeypatch, mode, symmetric):
+    rng = random.Random(7)
+    # Few hubs and many vertices, so that many are twins; some edges lead back.
+    pairs = {(v, 100 + h) for v in range(40) for h in rng.sample(range(4), rng.randrange(1, 4))}
+    pairs |= {(b, a) for a, b in sorted(pairs)[::9]} | {(101, 102), (102, 102)}
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    monkeypatch.setattr(equivalence, "_NODE", 2)
+    got = equivalence.structural_fuzzy_schedule(edges, None, (1.8, 1.3, 1.0), mode, 3, symmetric)
+    want = graphs.fuzzy_schedule(sorted(pairs), (1.8, 1.3, 1.0), 3, mode, symmetric)
+    assert {r["id"]: tuple(r["key"]) for r in got.collect()} == {i: tuple(k) for i, k in want.items()}
