@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -64,14 +65,20 @@ class Stages:
         return self._spark.read.schema(f"{ddl}, round int").parquet(self._root)
 
 
+# Rounds that are read from their folders beside the bucketed table; beyond, Spark lists folders by a job.
+_LOOSE_ROUNDS = 32
+
+
 class Rounds(Stages):
     """The rows settled so far by a breadth-first loop.
 
     A round asks which of the rows it reached are settled. Beyond ``limits.settled_rows`` rows
-    the settled keys are therefore also kept in a bucketed table, to which every round appends
-    its own files: the rows a round reached are dealt like its buckets by the aggregate that
-    made them, so settled rows stay where they are and only the frontier moves. Up to that
-    many rows, the folders are read as they are. Results never depend on the bound.
+    the settled keys are therefore also kept in a bucketed table: the rows a round reached are
+    dealt like its buckets by the aggregate that made them, so settled rows stay where they are
+    and only the frontier moves. Up to that many rows, the folders are read as they are, also
+    those of the rounds since the table was last added to: small rounds go to the table many at
+    a time, else a long loop writes and reads a file a bucket and round. Results never depend
+    on the bounds.
     ``by`` are the columns that settled rows are looked up by, all of ``keys`` if not given.
     """
 
@@ -79,7 +86,7 @@ class Rounds(Stages):
         self, first: DataFrame, name: str, keys: list[str], by: list[str] | None = None, limits: Limits = LIMITS
     ):
         self._keys, self._by, self._limit = keys, by or keys, limits.settled_rows
-        self._index, self._rows = None, 0
+        self._index, self._loose, self._loose_rows = None, [], 0
         super().__init__(first, name)
 
     @property
@@ -88,14 +95,20 @@ class Rounds(Stages):
 
     def _write(self, df: DataFrame) -> int:
         n = super()._write(df)
-        self._rows += n
-        if n and self._index is not None:
-            self._settle(self.frontier)
-        elif n and self._rows > self._limit:
-            self._index = f"strata_{uuid.uuid4().hex}"
-            self._settle(self.all())
+        if n:
+            self._loose.append(f"{self._root}/round={self.round}")
+            self._loose_rows += n
+            many = self.indexed and len(self._loose) > _LOOSE_ROUNDS
+            if many or self._loose_rows > self._limit:
+                rows = self._loose_keys() if self.indexed else self.all()
+                self._index = self._index or f"strata_{uuid.uuid4().hex}"
+                self._settle(rows)
+                self._loose, self._loose_rows = [], 0
         return n
 
+    def _loose_keys(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(*self._loose).select(*self._keys)
+
     def _settle(self, rows: DataFrame) -> None:
         """Append keys to the bucketed table; its files lie with the other intermediate tables."""
         # As many buckets as a shuffle has partitions, so an aggregate's output fits them.
@@ -104,12 +117,22 @@ class Rounds(Stages):
         writer = dealt.write.format("parquet").mode("append").bucketBy(buckets, *self._by).sortBy(*self._by)
         writer.option("path", f"{self._root}-index").saveAsTable(self._index)
 
-    def settled(self) -> DataFrame:
-        """The keys of all rounds, bucketed by ``by`` once they are many."""
-        return self.all().select(*self._keys) if self._index is None else self._spark.table(self._index)
+    def _settled_parts(self) -> list[DataFrame]:
+        """The keys of all rounds: those bucketed by ``by`` once they are many, and the others."""
+        if not self.indexed:
+            return [self.all().select(*self._keys)]
+        return [self._spark.table(self._index)] + ([self._loose_keys()] if self._loose else [])
+
+    def settled(self, at: DataFrame | None = None) -> DataFrame:
+        """The keys of all rounds; only those found in ``at`` by its columns, if given."""
+        # Each part is looked up by itself, since a union would not be bucketed.
+        parts = self._settled_parts()
+        return reduce(DataFrame.unionByName, parts if at is None else [p.join(at, at.columns, "left_semi") for p in parts])
 
     def without_settled(self, df: DataFrame) -> DataFrame:
-        return df.join(self.settled(), self._keys, "left_anti")
+        for part in self._settled_parts():
+            df = df.join(part, self._keys, "left_anti")
+        return df
 
     def close(self) -> None:
         """Forget the bucketed table; the rounds stay readable."""

@@ -58,8 +58,7 @@ def _unvisited(reached: DataFrame, rounds: Rounds, of_landmark: DataFrame) -> Da
     """
     if rounds.indexed:
         reached = save(reached, "reached")
-        at = reached.select("id").distinct()
-        settled = rounds.settled().join(at, "id", "left_semi")
+        settled = rounds.settled(reached.select("id").distinct())
     else:
         settled = rounds.settled()
     visited = settled.join(of_landmark, "landmark").select("id", "cluster")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from strata.operators import paths, skew
+from strata.operators import iterate, paths, skew
 from strata.plans import equivalence, features, model
 from strata.session import save
 
@@ -126,3 +126,25 @@ def test_weights_choose_like_single_elements(spark, monkeypatch, mode, symmetric
     got = equivalence.structural_fuzzy_schedule(edges, None, (1.8, 1.3, 1.0), mode, 3, symmetric)
     want = graphs.fuzzy_schedule(sorted(pairs), (1.8, 1.3, 1.0), 3, mode, symmetric)
     assert {r["id"]: tuple(r["key"]) for r in got.collect()} == {i: tuple(k) for i, k in want.items()}
+
+
+def test_small_rounds_go_to_the_bucketed_table_many_at_a_time(spark, monkeypatch):
+    first = spark.range(100).select("id", F.lit(0).cast("long").alias("landmark"))
+    settles, settle = [], iterate.Rounds._settle
+
+    def noted(self, rows):
+        settles.append(rows.count())
+        settle(self, rows)
+
+    monkeypatch.setattr(iterate.Rounds, "_settle", noted)
+    monkeypatch.setattr(iterate, "_LOOSE_ROUNDS", 3, raising=False)
+    with iterate.Rounds(first, "few", ["id", "landmark"], by=["id"], limits=skew.Limits(settled_rows=50)) as rounds:
+        for k in range(1, 11):
+            rounds.add(spark.createDataFrame([(100 * k, 0), (100 * k, 1)], "id long, landmark long"))
+            reached = spark.createDataFrame([(5, 0), (100 * k, 1), (100, 0), (7, 9)], "id long, landmark long")
+            assert [tuple(r) for r in rounds.without_settled(reached).collect()] == [(7, 9)]
+            assert rounds.settled().count() == 100 + 2 * k
+            at = spark.createDataFrame([(5,), (100,), (100 * k,)], "id long")
+            assert {tuple(r) for r in rounds.settled(at).collect()} == {(5, 0), (100, 0), (100, 1), (100 * k, 0), (100 * k, 1)}
+    # Ten rounds of two rows: four at a time.
+    assert settles == [100, 8, 8]
